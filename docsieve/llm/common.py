@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -66,6 +67,11 @@ class Scratch:
         for name in names:
             delete(self.spark, f"{self.root}/{name}")
 
+    def free(self) -> None:
+        """Lets Spark remove shuffle files of steps whose tables are written."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self) -> None:
         try:
             delete(self.spark, self.root)

@@ -31,6 +31,7 @@ is null. Sets are compared by 64-bit hashes of shingles.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,7 +64,19 @@ def class_id(s: np.ndarray) -> int:
 
 
 def counts_of(s: np.ndarray) -> bytes:
-    return np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes()
+    """Counts by group: GROUPS of them, doubled while a group would hold over 4 shingles on average."""
+    bits = GROUPS.bit_length() - 1
+    while len(s) > 4 << bits:
+        bits += 1
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u4").tobytes()
+
+
+def same_groups(points: list[bytes]) -> np.ndarray:
+    """Points at the coarsest resolution among them: neighbouring groups are summed."""
+    n = min(map(len, points))
+    if n == max(map(len, points)):
+        return np.frombuffer(b"".join(points), "<u4").reshape(len(points), -1).astype(np.int64)
+    return np.stack([np.frombuffer(p, "<u4").astype(np.int64).reshape(n // 4, -1).sum(1) for p in points])
 
 
 def slots_of(s: np.ndarray) -> np.ndarray:
@@ -116,13 +129,6 @@ def _prefixes(rank: np.ndarray):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        raw, at = text_buffer(b.column("text"))
-        sets = [s.tobytes() for s in shingle_sets(raw, at)]
-        yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(sets, pa.binary())], names=["cid", "shingles"])
-
-
 def need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Least overlap at which 100 * intersection >= 80 * union."""
     return (4 * (n + m) + 8) // 9
@@ -131,11 +137,16 @@ def need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 @F.pandas_udf(BooleanType())
 def bound_holds(a, b):
     """Whether two points allow the overlap that is needed."""
-    x = np.frombuffer(b"".join(a), "<u4").reshape(len(a), GROUPS).astype(np.int64)
-    y = np.frombuffer(b"".join(b), "<u4").reshape(len(b), GROUPS).astype(np.int64)
     import pandas as pd
 
-    return pd.Series(np.minimum(x, y).sum(1) >= need(x.sum(1), y.sum(1)))
+    out, plain = np.zeros(len(a), bool), [len(p) == len(q) == 4 * GROUPS for p, q in zip(a, b, strict=True)]
+    for k in np.flatnonzero(~np.array(plain, bool)):
+        x, y = same_groups([a.iloc[k], b.iloc[k]])
+        out[k] = np.minimum(x, y).sum() >= need(x.sum(), y.sum())
+    if any(plain):
+        x, y = same_groups(list(a[plain])), same_groups(list(b[plain]))
+        out[plain] = np.minimum(x, y).sum(1) >= need(x.sum(1), y.sum(1))
+    return pd.Series(out)
 
 
 @F.pandas_udf(BooleanType())
@@ -214,13 +225,13 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of each block pair of each group; rows come sorted by group and block pair."""
 
     def emit(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        cid = np.array([r[3] for r in rows], np.int64)
-        comp = np.array([r[4] for r in rows], np.int64)
-        block = np.array([r[6] for r in rows], np.int64)
+        cid = np.array([r[4] for r in rows], np.int64)
+        comp = np.array([r[5] for r in rows], np.int64)
+        block = np.array([r[7] for r in rows], np.int64)
         if comp.min() == comp.max():
             return
-        points = np.frombuffer(b"".join(r[5] for r in rows), "<u4").reshape(len(rows), GROUPS).astype(np.int64)
-        across = rows[0][1] != rows[0][2]
+        points = same_groups([r[6] for r in rows])
+        across = rows[0][2] != rows[0][3]
         for i, j in CountTree(points, comp).pairs():
             ok = (comp[i] != comp[j]) & ((block[i] != block[j]) | (not across))
             if ok.any():
@@ -229,8 +240,8 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     rows: list[tuple] = []
     for batch in batches:
-        for r in zip(*(batch.column(k).to_pylist() for k in ("leader", "i", "j", "cid", "comp", "counts", "block")), strict=True):
-            if rows and rows[0][:3] != r[:3]:
+        for r in zip(*(batch.column(k).to_pylist() for k in ("leader", "band", "i", "j", "cid", "comp", "counts", "block")), strict=True):
+            if rows and rows[0][:4] != r[:4]:
                 yield from emit(rows)
                 rows = []
             rows.append(r)
@@ -254,32 +265,50 @@ def ngram_join(docs: DataFrame) -> DataFrame:
 
     prefixes = out.table(texts.select("text").mapInArrow(_prefixes(rank), "sig long, cid long"), "prefixes")
     leaders = prefixes.groupBy("sig").agg(F.min("cid").alias("leader"), F.max("cid").alias("last")).where("leader < last").select("sig", "leader")
-    star = out.table(prefixes.join(leaders, "sig").where("cid != leader").select("leader", "cid").distinct(), "star")
+    leaders = out.table(leaders, "leaders")
+    out.free()
+    sizes = classes.select("cid", "n")
+    star = prefixes.join(leaders, "sig").where("cid != leader").select("leader", "cid").distinct()
+    star = out.table(star.join(sizes, "cid").join(sizes.toDF("leader", "leader_n"), "leader"), "star")
     out.drop("prefixes")
+    out.free()
 
-    points = classes.select("cid", "n", "counts")
-    left = points.toDF("leader", "leader_n", "leader_counts")
+    points = classes.select("cid", "counts")
     bounded = (
-        star.join(points, "cid").join(left, "leader")
-        .where("5 * n >= 4 * leader_n and 5 * leader_n >= 4 * n")
+        star.where("5 * n >= 4 * leader_n and 5 * leader_n >= 4 * n").select("leader", "cid")  # before the points are sent
+        .join(points, "cid").join(points.toDF("leader", "leader_counts"), "leader")
         .where(bound_holds("counts", "leader_counts"))
         .select(F.col("leader").alias("a"), F.col("cid").alias("b"))
     )
-    near = _verified(out, texts, rows, out.table(bounded, "bounded"), "near")
+    bounded = out.table(bounded, "bounded")
+    # one leader each first: mostly that joins what the others would join, and no set is sent in vain
+    first = bounded.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    near = _verified(out, texts, rows, out.table(first, "one"), "near-one")
     comp = connected(out, near, "first")
-
-    members = star.unionByName(star.select("leader", F.col("leader").alias("cid")).distinct())
-    labelled = members.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    mixed = labelled.groupBy("leader").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("size > 2 and c0 != c1")
+    apart = _apart(bounded.join(first, ["a", "b"], "left_anti"), comp)
+    apart = out.table(apart, "others")
+    if apart.take(1):
+        near = out.table(near.unionByName(_verified(out, texts, rows, apart, "near-others")), "near")
+        comp = connected(out, near, "second")
+
+    # a group's members by size: sets that can be similar are in the same band or in neighbouring ones
+    members = star.select("leader", "cid", "n").unionByName(star.select("leader", F.col("leader").alias("cid"), F.col("leader_n").alias("n")).distinct())
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.26)).cast("int")
+    labelled = (
+        members.join(comp.withColumnRenamed("node", "cid"), "cid", "left")
+        .select("leader", "cid", F.coalesce("comp", "cid").alias("comp"), F.explode(F.array(band, band + 1)).alias("band"))
+    )
+    mixed = labelled.groupBy("leader", "band").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(F.col("cid") == F.col("leader")).alias("led"))
+    mixed = mixed.where("c0 != c1 and (size > 2 or not led)").select("leader", "band", "size")
     blocks = (F.col("size") / BLOCK).cast("int") + 1
     cells = (
-        labelled.join(mixed.select("leader", "size"), "leader").join(points.drop("n"), "cid")
+        labelled.join(mixed, ["leader", "band"]).join(points, "cid")
         .withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "comp", "counts", "block")
+        .select("leader", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "comp", "counts", "block")
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cells.repartition(n, "leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(_tree_pairs, "a long, b long").distinct()
+    found = cells.repartition(n, "leader", "band", "i", "j").sortWithinPartitions("leader", "band", "i", "j").mapInArrow(_tree_pairs, "a long, b long").distinct()
     more = out.table(found, "more")
     if more.take(1):
         comp = connected(out, near.unionByName(_verified(out, texts, rows, more, "rest")), "last")
@@ -294,6 +323,13 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     )
 
 
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs of classes (a, b) that aren't in one component yet."""
+    for side in ("a", "b"):
+        pairs = pairs.join(comp.toDF(side, f"comp_{side}"), side, "left").withColumn(f"comp_{side}", F.coalesce(f"comp_{side}", side))
+    return pairs.where("comp_a != comp_b").select("a", "b")
+
+
 def _verified(out: Scratch, texts: DataFrame, rows: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """Of pairs of classes, those whose sets are similar."""
     used = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
@@ -304,6 +340,7 @@ def _verified(out: Scratch, texts: DataFrame, rows: DataFrame, pairs: DataFrame,
     joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     found = out.table(joined.where(similar("x", "y")).select("a", "b"), name)
     out.drop(f"{name}-sets", f"{name}-ids")
+    out.free()
     return found
 
 
