@@ -2,19 +2,80 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .ngram_join import ngram_join
+from . import decontam, langid, line_dedup, ngram_join, packing, pii, quality, secrets, sharding, warc
+from .common import shared_dir
+
+#: Arrivals and targets of op5: a shard for each 8 MB that is read, merged into files of 64 MB.
+SHARD_TARGET, SHARD_FAN, SHARD_SMALL = 64 << 20, 4, 8 << 20
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_files() -> tuple[str, str]:
+    """The vocabulary that the packing queries use, as the tokenizer's file and as ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir), *tokenizer_files())
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(_docs(spark, sf_dir))
+    return ngram_join.ngram_join(_docs(spark, sf_dir))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return langid.identify(docs, langid.train(langid.training_rows(docs)))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_docs(spark, sf_dir))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends the table in small shards, compacts, and reads the last version: where each row is."""
+    store = sharding.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", SHARD_TARGET, SHARD_FAN, SHARD_SMALL)
+    store.append(_docs(spark, sf_dir))
+    last = store.compact()
+    store.vacuum()
+    rows = store.read()
+    return rows.select(
+        "doc_id",
+        F.element_at(F.split("_shard", "/"), -1).alias("shard"),
+        F.lit(last.version).cast("long").alias("version"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(_docs(spark, sf_dir)).select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_docs(spark, sf_dir))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_docs(spark, sf_dir))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": line_dedup.ORACLE_SQL}
