@@ -95,6 +95,8 @@ class _Reader:
         last = first
         while True:
             kind, word, _, end = self.peek()
+            if kind == "end" and depth > 0:
+                raise QueryError("HCL parse error: a bracket isn't closed")
             if kind == "end" or (depth == 0 and (kind == "nl" or word in (",", "}", "]"))):
                 return self.text[first:last]
             depth += (word in "([{") - (word in ")]}") if kind == "sign" else 0

@@ -76,7 +76,7 @@ def blocks(lines: list[str]) -> list[dict]:
                 i += 1
             out.append({"type": "html_block", "html": "\n".join(raw) + "\n"})
         else:
-            para = [line.strip()]
+            para = [line.lstrip()]
             i += 1
             level = 0
             while i < len(lines) and lines[i].strip():
