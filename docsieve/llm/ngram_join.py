@@ -19,9 +19,10 @@ On a cluster the sets meet as follows.
    members are in one component by then are done: no pair in them can add
    anything. That is where large groups of near copies end, in time linear in
    their size.
-4. The others go into R-trees, in blocks of bounded size if a group is large,
-   which yield the pairs of different components that pass the bound. These
-   are verified too. No candidate pair is left out.
+4. The others go into R-trees, in blocks of bounded size if a group is large.
+   Pairs of different components that pass the bound are verified there, on bit
+   sets, and a link is returned if it joins components. No candidate pair is
+   left out, and what is returned grows with the members, not with their pairs.
 
 Nulls and empty texts have no shingles, class or link; each is its own
 component. Rows with one doc_id are handled as rows of their own and end in one
@@ -46,7 +47,7 @@ from .kernels import shingle_sets
 
 GROUPS = 128
 SLOTS = 1 << 16
-BLOCK = 1024
+BLOCK = 512
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -221,26 +222,74 @@ class CountTree:
         return i[ok], j[ok]
 
 
-def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each block pair of each group; rows come sorted by group and block pair."""
+class Sets:
+    """Sets of one cell as bits over the shingles that more than one of them has: exact intersections, many at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets], np.int64)
+        every = np.concatenate(sets)
+        _, at, n = np.unique(every, return_inverse=True, return_counts=True)
+        column = np.cumsum(n > 1) - 1
+        row = np.repeat(np.arange(len(sets)), self.size)
+        shared = n[at] > 1
+        row, bit = row[shared], column[at[shared]]
+        self.bits = np.zeros((len(sets), int(column[-1] + 1) // 64 + 1), np.uint64)
+        np.bitwise_or.at(self.bits, (row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+
+    def similar(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out, step = [], max(1, (1 << 22) // self.bits.shape[1])
+        for k in range(0, len(i), step):
+            x, y = i[k : k + step], j[k : k + step]
+            both = np.bitwise_count(self.bits[x] & self.bits[y]).sum(1, dtype=np.int64)
+            out.append(100 * both >= 80 * (self.size[x] + self.size[y] - both))
+        return np.concatenate(out) if out else np.zeros(0, bool)
+
+
+class Unions:
+    """Union-find over the labels of components."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _cell_links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Of one block pair of one group: links enough to join what its links join."""
+    cid, block = [r[4] for r in rows], np.array([r[7] for r in rows], np.int64)
+    _, comp = np.unique(np.array([r[5] for r in rows], np.int64), return_inverse=True)
+    if comp.max() == 0:
+        return
+    sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+    across, exact, joined = rows[0][2] != rows[0][3], Sets(sets), Unions()
+    for i, j in CountTree(same_groups([counts_of(s) for s in sets]), comp).pairs():
+        ok = (comp[i] != comp[j]) & ((block[i] != block[j]) | (not across))
+        i, j = i[ok], j[ok]
+        ok = exact.similar(i, j)
+        for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+            if joined.join(int(comp[x]), int(comp[y])):
+                yield cid[x], cid[y]
+
+
+def _tree_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links found in each block pair of each group; rows come sorted by these."""
 
     def emit(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        cid = np.array([r[4] for r in rows], np.int64)
-        comp = np.array([r[5] for r in rows], np.int64)
-        block = np.array([r[7] for r in rows], np.int64)
-        if comp.min() == comp.max():
-            return
-        points = same_groups([r[6] for r in rows])
-        across = rows[0][2] != rows[0][3]
-        for i, j in CountTree(points, comp).pairs():
-            ok = (comp[i] != comp[j]) & ((block[i] != block[j]) | (not across))
-            if ok.any():
-                i, j = i[ok], j[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[i], cid[j])), pa.array(np.maximum(cid[i], cid[j]))], names=["a", "b"])
+        if found := list(_cell_links(rows)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
     rows: list[tuple] = []
     for batch in batches:
-        for r in zip(*(batch.column(k).to_pylist() for k in ("leader", "band", "i", "j", "cid", "comp", "counts", "block")), strict=True):
+        for r in zip(*(batch.column(k).to_pylist() for k in ("leader", "band", "i", "j", "cid", "comp", "shingles", "block")), strict=True):
             if rows and rows[0][:4] != r[:4]:
                 yield from emit(rows)
                 rows = []
@@ -301,17 +350,21 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     mixed = labelled.groupBy("leader", "band").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(F.col("cid") == F.col("leader")).alias("led"))
     mixed = mixed.where("c0 != c1 and (size > 2 or not led)").select("leader", "band", "size")
     blocks = (F.col("size") / BLOCK).cast("int") + 1
-    cells = (
-        labelled.join(mixed, ["leader", "band"]).join(points, "cid")
-        .withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("leader", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "comp", "counts", "block")
-    )
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cells.repartition(n, "leader", "band", "i", "j").sortWithinPartitions("leader", "band", "i", "j").mapInArrow(_tree_pairs, "a long, b long").distinct()
-    more = out.table(found, "more")
-    if more.take(1):
-        comp = connected(out, near.unionByName(_verified(out, texts, rows, more, "rest")), "last")
+    cells = out.table(labelled.join(mixed, ["leader", "band"]), "cells")
+    if cells.take(1):
+        spread = (
+            cells.join(_sets(out, texts, rows, cells.select("cid").distinct(), "cells"), "cid")
+            .withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .select("leader", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "comp", "shingles", "block")
+        )
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spread = spread.repartition(n, "leader", "band", "i", "j").sortWithinPartitions("leader", "band", "i", "j")
+        more = out.table(spread.mapInArrow(_tree_links, "a long, b long"), "more")
+        out.drop("cells-sets")
+        out.free()
+        if more.take(1):
+            comp = connected(out, near.unionByName(more), "last")
     named = (
         classes.select("cid", "rep").join(comp.withColumnRenamed("node", "cid"), "cid", "left")
         .select("cid", "rep", F.coalesce("comp", "cid").alias("comp"))
@@ -330,13 +383,17 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return pairs.where("comp_a != comp_b").select("a", "b")
 
 
+def _sets(out: Scratch, texts: DataFrame, rows: DataFrame, used: DataFrame, name: str) -> DataFrame:
+    """cid, shingles of the classes ``used``, made again from one text of each; a repeated doc_id can bring other
+    texts, which are left out."""
+    ids = out.table(rows.join(used, "cid").groupBy("cid").agg(F.min("doc_id").alias("doc_id")), f"{name}-ids")
+    sets = join_checked(texts, ids, "doc_id", "inner").mapInArrow(_sets_checked, "cid long, shingles binary").groupBy("cid").agg(F.min("shingles").alias("shingles"))
+    return out.table(sets, f"{name}-sets")
+
+
 def _verified(out: Scratch, texts: DataFrame, rows: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """Of pairs of classes, those whose sets are similar."""
-    used = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    ids = rows.join(used, "cid").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    # the set of a class is made again from one of its texts; a repeated doc_id can bring others, which no pair asks for
-    sets = join_checked(texts, out.table(ids, f"{name}-ids"), "doc_id", "inner").mapInArrow(_sets_checked, "cid long, shingles binary").groupBy("cid").agg(F.min("shingles").alias("shingles"))
-    sets = out.table(sets, f"{name}-sets")
+    sets = _sets(out, texts, rows, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), name)
     joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     found = out.table(joined.where(similar("x", "y")).select("a", "b"), name)
     out.drop(f"{name}-sets", f"{name}-ids")
