@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked
+from .common import Scratch, join_checked
 
 RATIO, PAGES = 0.2, 5
 #: Sites of which the lines may be broadcast (each with tens of lines).
@@ -39,7 +39,7 @@ def boilerplate(docs: DataFrame, site: str = "source", ratio: float = RATIO, pag
 
 def drop_lines(docs: DataFrame, site: str = "source", ratio: float = RATIO, pages: int = PAGES) -> DataFrame:
     """``docs`` with the boilerplate gone from ``text``; columns _b_all and _b_gone count lines before and dropped."""
-    found = boilerplate(docs, site, ratio, pages).withColumnRenamed("_b_site", "_b_key")
+    found = Scratch(docs.sparkSession, "lines").table(boilerplate(docs, site, ratio, pages).withColumnRenamed("_b_site", "_b_key"), "boilerplate")
     joined = join_checked(docs.withColumn("_b_key", F.col(site)), found, "_b_key", "left", SITES).drop("_b_key")
     lines = F.split("text", "\n")
     kept = F.when(F.col("_b_lines").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_b_lines", F.xxhash64(x))))
