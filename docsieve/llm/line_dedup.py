@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, join_checked
 
-RATIO, PAGES = 0.2, 5
+RATIO, PAGES = 0.08, 10
 #: Sites of which the lines may be broadcast (each with tens of lines).
 SITES = 20_000
 

@@ -235,9 +235,9 @@ def test_lines(spark, docs):
     import oracle
 
     oracle.compare(queries.op9_line_dedup(spark, DATA), line_dedup.ORACLE_SQL)
-    rows = [(k, "s", f"menu\nown {k}\n\nmenu") for k in range(8)] + [(k, None, "menu\nx") for k in range(8, 16)] + [(16, "t", "menu")] + [(20, "s", "menu")]
+    rows = [(k, "s", f"menu\nown {k}\n\nmenu") for k in range(12)] + [(k, None, "menu\nx") for k in range(40, 60)] + [(16, "t", "menu")] + [(20, "s", "menu")]
     out = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in line_dedup.report(spark.createDataFrame(rows, "doc_id bigint, source string, text string")).collect()}
-    assert out[3] == (4, 2, "own 3\n") and out[9] == (2, 0, "menu\nx") and out[16] == (1, 0, "menu") and out[20] == (1, 1, "")
+    assert out[3] == (4, 2, "own 3\n") and out[49] == (2, 0, "menu\nx") and out[16] == (1, 0, "menu") and out[20] == (1, 1, "")
 
 
 # benchmark
