@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, langid, line_dedup, ngram_join, packing, pii, quality, secrets, sharding, warc
-from .common import shared_dir
+from .common import Scratch
 
 #: Arrivals and targets of op5: a shard for each 8 MB that is read, merged into files of 64 MB.
 SHARD_TARGET, SHARD_FAN, SHARD_SMALL = 64 << 20, 4, 8 << 20
@@ -45,7 +44,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Appends the table in small shards, compacts, and reads the last version: where each row is."""
-    store = sharding.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", SHARD_TARGET, SHARD_FAN, SHARD_SMALL)
+    store = sharding.Store(spark, Scratch(spark, "store").root, SHARD_TARGET, SHARD_FAN, SHARD_SMALL)
     store.append(_docs(spark, sf_dir))
     last = store.compact()
     store.vacuum()
