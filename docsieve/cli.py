@@ -10,6 +10,7 @@ from . import api
 from .complete import COMMANDS
 from .errors import QueryError
 from .functions.values import schema_of
+from .plans.grammar import parse
 from .sources import formats, writers
 
 
@@ -59,12 +60,24 @@ def main(argv: list[str] | None = None) -> int:
         return 1
 
 
+def unfinished(line: str) -> bool:
+    """Whether a query only lacks closing signs, so that the next line belongs to it."""
+    if line.startswith(":"):
+        return False
+    try:
+        return not parse(line, lenient=True).complete
+    except QueryError:
+        return False
+
+
 def session(data, args, read=input, show=print) -> int:
     """Reads queries and commands until the end of input."""
     to, raw, pretty, history = args.to, args.raw, args.pretty, []
     while True:
         try:
             line = read("> ").strip()
+            while unfinished(line):
+                line = f"{line} {read('. ')}".strip()
         except EOFError:
             return 0
         if not line:
@@ -75,7 +88,7 @@ def session(data, args, read=input, show=print) -> int:
             if word in (":q", ":quit"):
                 return 0
             if word in (":h", ":help"):
-                show(" ".join(COMMANDS))
+                show(" ".join(f":{c}" for c in COMMANDS))
             elif word == ":schema":
                 show(writers.to_json(schema_of(data)))
             elif word == ":to":

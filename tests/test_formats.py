@@ -95,7 +95,38 @@ def test_session(tmp_path):
     assert "12" in shown and any("unknown command" in s for s in shown) and any("unknown operation" in s for s in shown)
 
 
-def test_complete():
-    data = {"users": [{"name": "A", "age": 1}], "version": 1}
-    assert complete(".u", data) == ["users"] and complete(".users | fi", data) == ["filter", "filter_keys", "filter_values", "first"]
-    assert complete(".users | map(.", data) == ["age", "name"] and complete(":s", data) == [":schema"] and complete(".users[0].n", data) == ["name"]
+DATA = {"users": [{"name": "A", "age": 1, "at": {"city": "x", "zip": 1}}], "version": 1, "scores": {"a": {"total": 1}}}
+OPERATIONS = 24
+
+
+@pytest.mark.parametrize(
+    "text,start,found",
+    [
+        (".", 0, [".scores", ".users", ".version"]), (".u", 0, [".users"]), (".users[0].n", 9, [".name"]), (".version.", 8, []), (".xyz", 0, []), ("", 0, []),
+        (".users | fi", 9, ["filter", "filter_keys", "filter_values", "first"]), (".users | zz", 9, []), (".users | unique_", 9, ["unique_by"]),
+        (".users | map(.", 13, [".age", ".at", ".name"]), (".users | filter(.at.ci", 19, [".city"]), (".users | sort_by(.name) | filter(.a", 33, [".age", ".at"]),
+        (".users | filter(.age > 20 && .na", 29, [".name"]), (".version | filter(.", 18, []), (".scores | filter_values(.to", 24, [".total"]),
+        ("if true then .us", 13, [".users"]), ("if true then .name else .ver", 24, [".version"]), ('"hello \\(.us', 9, [".users"]),
+        ('.users | map(.name + " | ") | fil', 30, ["filter", "filter_keys", "filter_values"]), ('.users | map("a|s', 16, []), (".users | filter(.age > 30)", 26, []), (".users[", 7, []),
+        (":sch", 1, ["schema"]), (":q", 1, ["q", "quit"]), (":to y", 4, ["yaml"]), (":to z", 4, []),
+    ],
+)
+def test_complete(text, start, found):
+    assert complete(text, len(text), DATA) == (start, found)
+
+
+def test_complete_all():
+    assert len(complete(".users | ", 9, DATA)[1]) == OPERATIONS and len(complete(":", 1, None)[1]) == 9
+    assert len(complete('.users | filter(.name != "a|b") | ', 34, DATA)[1]) == OPERATIONS
+
+
+def test_session_joins_lines():
+    lines, shown = iter([". | map(", "  .a", ")"]), []
+
+    def read(_):
+        try:
+            return next(lines)
+        except StopIteration:
+            raise EOFError from None
+
+    assert session([{"a": 1}], arguments().parse_args(["-t", "csv"]), read, shown.append) == 0 and shown == ["1"]

@@ -102,7 +102,7 @@ def test_suggestion():
         parse(".x | filtr(.a)")
 
 
-@pytest.mark.parametrize("text", ["(.a", ".a[0", '"abc', "{a", ". | map(.x"])
+@pytest.mark.parametrize("text", ["(.a", ".a[0", '"abc', "{a", ". | map(.x", ".x | filter(", ".a[1:", '"n: \\(.na', ". | map({t: .p"])
 def test_lenient(text):
     assert not parse(text, lenient=True).complete
 
