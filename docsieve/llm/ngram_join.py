@@ -47,7 +47,10 @@ from .kernels import shingle_sets
 
 GROUPS = 128
 SLOTS = 1 << 16
-BLOCK = 512
+#: Shingles in a block of a group, on average: bounds a task's memory, whether sets are many or large.
+BLOCK = 400_000
+#: Bytes of bits; beyond it, sets are intersected one pair at a time.
+BITS = 1 << 26
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -150,18 +153,18 @@ def bound_holds(a, b):
     return pd.Series(out)
 
 
+def is_similar(x: np.ndarray, y: np.ndarray) -> bool:
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= 80 * (len(x) + len(y) - both)
+
+
 @F.pandas_udf(BooleanType())
 def similar(a, b):
     """Whether two sets are similar: exact, by their intersection."""
     import pandas as pd
 
-    out = []
-    for p, q in zip(a, b, strict=True):
-        x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-        at = np.searchsorted(y, x)
-        both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-        out.append(100 * both >= 80 * (len(x) + len(y) - both))
-    return pd.Series(out)
+    return pd.Series([is_similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(a, b, strict=True)], dtype=bool)
 
 
 class CountTree:
@@ -230,13 +233,18 @@ class Sets:
         every = np.concatenate(sets)
         _, at, n = np.unique(every, return_inverse=True, return_counts=True)
         column = np.cumsum(n > 1) - 1
-        row = np.repeat(np.arange(len(sets)), self.size)
-        shared = n[at] > 1
-        row, bit = row[shared], column[at[shared]]
-        self.bits = np.zeros((len(sets), int(column[-1] + 1) // 64 + 1), np.uint64)
-        np.bitwise_or.at(self.bits, (row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+        width = int(column[-1] + 1) // 64 + 1
+        self.sets, self.bits = sets, None
+        if 8 * width * len(sets) <= BITS:
+            row = np.repeat(np.arange(len(sets)), self.size)
+            shared = n[at] > 1
+            row, bit = row[shared], column[at[shared]]
+            self.bits = np.zeros((len(sets), width), np.uint64)
+            np.bitwise_or.at(self.bits, (row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
 
     def similar(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            return np.array([is_similar(self.sets[x], self.sets[y]) for x, y in zip(i, j, strict=True)], bool)
         out, step = [], max(1, (1 << 22) // self.bits.shape[1])
         for k in range(0, len(i), step):
             x, y = i[k : k + step], j[k : k + step]
@@ -345,11 +353,11 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.26)).cast("int")
     labelled = (
         members.join(comp.withColumnRenamed("node", "cid"), "cid", "left")
-        .select("leader", "cid", F.coalesce("comp", "cid").alias("comp"), F.explode(F.array(band, band + 1)).alias("band"))
+        .select("leader", "cid", "n", F.coalesce("comp", "cid").alias("comp"), F.explode(F.array(band, band + 1)).alias("band"))
     )
-    mixed = labelled.groupBy("leader", "band").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(F.col("cid") == F.col("leader")).alias("led"))
-    mixed = mixed.where("c0 != c1 and (size > 2 or not led)").select("leader", "band", "size")
-    blocks = (F.col("size") / BLOCK).cast("int") + 1
+    mixed = labelled.groupBy("leader", "band").agg(F.count("*").alias("size"), F.sum("n").alias("shingles_in"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(F.col("cid") == F.col("leader")).alias("led"))
+    mixed = mixed.where("c0 != c1 and (size > 2 or not led)").select("leader", "band", "shingles_in")
+    blocks = (F.col("shingles_in") / BLOCK).cast("int") + 1
     cells = out.table(labelled.join(mixed, ["leader", "band"]), "cells")
     if cells.take(1):
         spread = (

@@ -65,7 +65,7 @@ def test_against_brute_force(spark):
 
 
 def test_long_text_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(J, "BLOCK", 8)
+    monkeypatch.setattr(J, "BLOCK", 400)
     rng = random.Random(9)
     rows = list(enumerate(family(rng, 60, 50, 4) + [" ".join(f"v{k}" for k in range(60_000))] * 2))
     assert run(spark, rows) == brute(rows)
@@ -108,7 +108,9 @@ def test_tree_finds_all(seed):
     assert {(a, b) for a, b in want if 5 * size[a] >= 4 * size[b] and 5 * size[b] >= 4 * size[a]} <= got
 
 
-def test_bit_sets():
+@pytest.mark.parametrize("bits", [J.BITS, 1])
+def test_bit_sets(monkeypatch, bits):
+    monkeypatch.setattr(J, "BITS", bits)
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 200).astype(np.uint64)
     sets = [np.unique(np.concatenate((base[: 200 - 3 * k], rng.integers(0, 2**63, 2 * k + 1).astype(np.uint64)))) for k in range(20)]
