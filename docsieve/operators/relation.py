@@ -78,41 +78,59 @@ class _Bag:
     where: Column | None = None
 
 
-_ORDERED = {"first", "last", "reverse", "unique", "unique_by", "group_by", "keys"}
+def _bag(node: A.Node) -> bool:
+    match node:
+        case A.Field("values"):
+            return True
+        case A.Pipe(left, A.Op("map" | "filter")):
+            return _bag(left)
+    return False
 
 
-def sees_order(node: A.Node) -> bool:
-    """Whether something in the query depends on the order in which elements come."""
-    if isinstance(node, (A.Index, A.Slice)) or (isinstance(node, A.Op) and node.name in _ORDERED):
-        return True
-    return any(map(sees_order, A.children(node)))
+def _aggregated(body: A.Node) -> bool:
+    """Whether a group's values are aggregated wherever they stand in a body, so that their order doesn't show."""
+    match body:
+        case A.Pipe(left, A.Op("length" | "sum" | "avg" | "min" | "max")) if _bag(left):
+            return True
+        case A.Field("values") | A.Identity():
+            return False
+    return all(map(_aggregated, A.children(body)))
 
 
-def fused(node: A.Node) -> bool:
-    """Whether all that sees order in the query is a group_by whose groups are aggregated at once."""
+def _grouped_from(node: A.Node) -> A.Node | None:
+    """What is grouped, if the node is a group_by with filters that aggregate behind it."""
     match node:
-        case A.Pipe(A.Pipe(left, A.Op("group_by", k)), A.Op("map", body)):
-            return not sees_order(k) and not sees_order(body) and fused(left)
-        case A.Pipe(left, A.Op("sort_by", k)):
-            return fused(left) and not sees_order(k)
-        case A.Pipe(left, A.Op("unique")) | A.Slice(left, None, _):
-            return fused(left) if isinstance(node, A.Pipe) or _is_sorted(left) else False
-        case A.Pipe(left, A.Op("reverse" | "first" | "last")):
-            return _is_sorted(left) and fused(left)
-        case A.Index(left, A.Literal()):
-            return _is_sorted(left) and fused(left)
-    return all(map(fused, A.children(node))) if not (isinstance(node, (A.Index, A.Slice)) or (isinstance(node, A.Op) and node.name in _ORDERED)) else False
+        case A.Pipe(left, A.Op("group_by")):
+            return left
+        case A.Pipe(left, A.Op("filter", p)) if _aggregated(p):
+            return _grouped_from(left)
+    return None
 
 
 def _is_sorted(node: A.Node) -> bool:
     match node:
         case A.Pipe(_, A.Op("sort" | "sort_by")):
             return True
-        case A.Pipe(left, A.Op("reverse" | "filter" | "map")):
+        case A.Pipe(left, A.Op("reverse" | "filter" | "map")) | A.Slice(left):
             return _is_sorted(left)
     return False
 
 
+def needs_position(node: A.Node) -> bool:
+    """Whether the rows' own order must be known. What stands inside of an operation works on one
+    element and doesn't count; behind a sort its keys are the order."""
+    match node:
+        case A.Pipe(groups, A.Op("map" | "length", body)) if (left := _grouped_from(groups)) is not None:
+            return needs_position(left) or (body is not None and not _aggregated(body))
+        case A.Pipe(left, A.Op("group_by" | "unique_by")):
+            return True
+        case A.Pipe(left, A.Op("reverse" | "first" | "last" | "keys")) | A.Index(left) | A.Slice(left):
+            return needs_position(left) or not _is_sorted(left)
+        case A.Pipe(left, A.Op()):
+            return needs_position(left)
+    return any(map(needs_position, A.children(node)))
+
+
 def row_of(df: DataFrame) -> Val:
     """A row of a frame as a value: its columns are reached as such, so unused ones aren't read."""
     fields = {f.name: Val(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields if not f.name.startswith(POSITION)}
@@ -126,7 +144,7 @@ class Relations:
         self.strict, self.columns = strict, Columns(strict)
 
     def run(self, node: A.Node, df: DataFrame) -> DataFrame:
-        if not fused(node):
+        if needs_position(node):
             df = df.withColumn(POSITION, F.monotonically_increasing_id())
         rel = Rel(df, row_of(df), [(POSITION, True)] if POSITION in df.columns else [])
         return self.finish(self.compile(node, rel))
@@ -303,10 +321,7 @@ class Relations:
 
     def _only(self, rel: Rel) -> Scalar:
         name = _fresh("one")
-        return Scalar({name: (rel, F.first(F.struct(rel.elem.column().alias("e"))))}, self._opened(Val(F.col(name)["e"], rel.elem.type)))
-
-    def _opened(self, v: Val) -> Val:
-        return v
+        return Scalar({name: (rel, F.first(F.struct(rel.elem.column().alias("e"))))}, Val(F.col(name)["e"], rel.elem.type))
 
     def index(self, rel: Rel, index: A.Node) -> Scalar:
         i = self._constant(index, "index")
@@ -451,7 +466,6 @@ class Relations:
             tests = [self._body(g, p) for p in g.having]
         except _Unfit:
             return None
-        key = Val(F.col("_gkey"), g.key.type)
         names = {k: _fresh("out") for k in body.fields} if body.fields is not None else {"value": _fresh("out")}
         values = body.fields if body.fields is not None else {"value": body}
         aggs = [v.column().alias(names[k]) for k, v in values.items()]
@@ -462,7 +476,6 @@ class Relations:
             df = df.where(f"_h{i}")
         out = {k: Val(F.col(n), values[k].type) for k, n in names.items()}
         elem = Val(None, body.type, out) if body.fields is not None else out["value"]
-        del key
         return Rel(df, elem, [(c, True) for c, _ in g.rel.order[-1:]], bool(g.rel.order))
 
     def _body(self, g: Groups, node: A.Node) -> Val:
