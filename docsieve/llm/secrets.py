@@ -29,7 +29,7 @@ HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Natural-logarithm units by which "random" must be likelier than "identifier", over all and by character pair.
-LEAST, LEAST_EACH = 15.0, 0.6
+LEAST, LEAST_EACH = 8.0, 0.25
 _BLOCK = 64
 
 #: Words of which labelled identifiers are made.
