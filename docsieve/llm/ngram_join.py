@@ -19,10 +19,11 @@ On a cluster the sets meet as follows.
    members are in one component by then are done: no pair in them can add
    anything. That is where large groups of near copies end, in time linear in
    their size.
-4. The others go into R-trees, in blocks of bounded size if a group is large.
-   Pairs of different components that pass the bound are verified there, on bit
-   sets, and a link is returned if it joins components. No candidate pair is
-   left out, and what is returned grows with the members, not with their pairs.
+4. The points of the others go into R-trees, in blocks of bounded size if a group
+   is large, which name the members that have a partner of another component
+   within the bound. The sets of these are sent, their pairs verified on bits,
+   and a link is returned if it joins components. No candidate pair is left
+   out, and what is returned grows with the members, not with their pairs.
 
 Nulls and empty texts have no shingles, class or link; each is its own
 component. Rows with one doc_id are handled as rows of their own and end in one
@@ -288,22 +289,48 @@ def _cell_links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
                 yield cid[x], cid[y]
 
 
-def _tree_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links found in each block pair of each group; rows come sorted by these."""
+_CELL = ["leader", "band", "i", "j"]
+
+
+def _promising(rows: list[tuple]) -> Iterator[tuple]:
+    """Of one block pair of one group: the members that have a partner within the bound."""
+    _, comp = np.unique(np.array([r[5] for r in rows], np.int64), return_inverse=True)
+    if comp.max() == 0:
+        return
+    block = np.array([r[7] for r in rows], np.int64)
+    across, hit = rows[0][2] != rows[0][3], np.zeros(len(rows), bool)
+    for i, j in CountTree(same_groups([r[6] for r in rows]), comp).pairs():
+        ok = (comp[i] != comp[j]) & ((block[i] != block[j]) | (not across))
+        hit[i[ok]] = hit[j[ok]] = True
+    for k in np.flatnonzero(hit):
+        r = rows[k]
+        yield (*r[:6], r[7])
+
+
+def _by_cell(work, data: str, names: list[str], types: list[pa.DataType]):
+    """Runs ``work`` on the rows of each block pair of each group; rows come sorted by these."""
 
     def emit(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if found := list(_cell_links(rows)):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+        if found := list(work(rows)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for r in zip(*(batch.column(k).to_pylist() for k in (*_CELL, "cid", "comp", data, "block")), strict=True):
+                if rows and rows[0][:4] != r[:4]:
+                    yield from emit(rows)
+                    rows = []
+                rows.append(r)
+        if rows:
+            yield from emit(rows)
+
+    return run
 
-    rows: list[tuple] = []
-    for batch in batches:
-        for r in zip(*(batch.column(k).to_pylist() for k in ("leader", "band", "i", "j", "cid", "comp", "shingles", "block")), strict=True):
-            if rows and rows[0][:4] != r[:4]:
-                yield from emit(rows)
-                rows = []
-            rows.append(r)
-    if rows:
-        yield from emit(rows)
+
+def _cells(df: DataFrame) -> DataFrame:
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *_CELL).sortWithinPartitions(*_CELL)
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -358,17 +385,20 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     mixed = labelled.groupBy("leader", "band").agg(F.count("*").alias("size"), F.sum("n").alias("shingles_in"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(F.col("cid") == F.col("leader")).alias("led"))
     mixed = mixed.where("c0 != c1 and (size > 2 or not led)").select("leader", "band", "shingles_in")
     blocks = (F.col("shingles_in") / BLOCK).cast("int") + 1
-    cells = out.table(labelled.join(mixed, ["leader", "band"]), "cells")
+    spread = (
+        labelled.join(mixed, ["leader", "band"]).join(points, "cid")
+        .withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("leader", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "comp", "counts", "block")
+    )
+    kept = [*_CELL, "cid", "comp", "block"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+    cells = _cells(spread).mapInArrow(_by_cell(_promising, "counts", kept, types), "leader long, band int, i int, j int, cid long, comp long, block int")
+    cells = out.table(cells, "cells")
+    out.free()
     if cells.take(1):
-        spread = (
-            cells.join(_sets(out, texts, rows, cells.select("cid").distinct(), "cells"), "cid")
-            .withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .select("leader", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "comp", "shingles", "block")
-        )
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        spread = spread.repartition(n, "leader", "band", "i", "j").sortWithinPartitions("leader", "band", "i", "j")
-        more = out.table(spread.mapInArrow(_tree_links, "a long, b long"), "more")
+        full = cells.join(_sets(out, texts, rows, cells.select("cid").distinct(), "cells"), "cid").select(*kept, "shingles")
+        more = out.table(_cells(full).mapInArrow(_by_cell(_cell_links, "shingles", ["a", "b"], [pa.int64()] * 2), "a long, b long"), "more")
         out.drop("cells-sets")
         out.free()
         if more.take(1):
