@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from . import decontam, langid, line_dedup, ngram_join, packing, pii, quality, secrets, sharding, warc
 from .common import Scratch
 
-#: Arrivals and targets of op5: a shard for each 8 MB that is read, merged into files of 64 MB.
+#: Targets of op5: shards of at most 8 MB, whatever the scan's pieces are, merged into files of about 64 MB.
 SHARD_TARGET, SHARD_FAN, SHARD_SMALL = 64 << 20, 4, 8 << 20
+#: Arrivals that op5 appends the table in, by a hash of doc_id.
+SHARD_ARRIVALS = 4
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,10 +45,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Appends the table in small shards, compacts, and reads the last version: where each row is."""
+    """Appends the table in small shards, an arrival at a time, compacts after each, and reads the last version: where each row is."""
     store = sharding.Store(spark, Scratch(spark, "store").root, SHARD_TARGET, SHARD_FAN, SHARD_SMALL)
-    store.append(_docs(spark, sf_dir))
-    last = store.compact()
+    docs = _docs(spark, sf_dir)
+    for k in range(SHARD_ARRIVALS):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARD_ARRIVALS)) == k), SHARD_SMALL)
+        last = store.compact()
     store.vacuum()
     rows = store.read()
     return rows.select(

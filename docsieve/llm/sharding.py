@@ -1,15 +1,15 @@
 """Shards of a table under size-tiered compaction.
 
 A store is a folder of immutable shards (one Parquet file each) and numbered manifests.
-``append`` writes an arrival as small shards; ``compact`` merges runs of at least
+``append`` writes an arrival as shards of bounded size; ``compact`` merges runs of at least
 ``fan`` shards of one size tier into files of about ``target`` bytes, tier by
 tier, until no run is left; each step commits a new manifest by renaming a
 complete file to a name that must not exist yet, so that a reader sees the old
 version or the new one and of two writers one fails and can try again. Files
 that no manifest from ``keep`` versions back names are removed by ``vacuum``.
 
-Merging needs no shuffle: a group of shards, which by its choice is at most the
-target, is one task that reads its files and writes one. The driver holds file
+Merging needs no shuffle: a group of shards, which by its choice is at most one
+and a half times the target, is one task that reads its files and writes one. The driver holds file
 names and sizes only. A task made again writes the same shard; Spark's committer
 keeps one of its attempts.
 
@@ -58,7 +58,8 @@ def tier(size: int, small: int, fan: int) -> int:
 
 def plan(shards: list[dict], target: int, fan: int, small: int) -> list[list[dict]]:
     """Groups to merge now: in the lowest tier with ``fan`` shards or more, runs in order of size, of at most
-    ``target`` bytes each. Shards of three quarters of the target are done."""
+    ``target`` bytes each, or of one and a half times that where less would leave a run under three quarters of
+    the target. Shards of three quarters of the target are done."""
     open_ = [s for s in shards if s["bytes"] < target * 3 // 4]
     for k in sorted({tier(s["bytes"], small, fan) for s in open_}):
         of = sorted((s for s in open_ if tier(s["bytes"], small, fan) == k), key=lambda s: (s["bytes"], s["name"]))
@@ -66,7 +67,8 @@ def plan(shards: list[dict], target: int, fan: int, small: int) -> list[list[dic
             continue
         groups: list[list[dict]] = [[]]
         for s in of:
-            if groups[-1] and sum(x["bytes"] for x in groups[-1]) + s["bytes"] > target:
+            size = sum(x["bytes"] for x in groups[-1])
+            if size + s["bytes"] > target and size >= target * 3 // 4:
                 groups.append([])
             groups[-1].append(s)
         groups = [g for g in groups if len(g) >= 2]
@@ -106,10 +108,10 @@ class Store:
             fs.delete(temp, False)
             raise Conflict(f"version {after.version} exists")
 
-    def _written(self, df: DataFrame) -> list[dict]:
-        """Writes one file for each task with rows, in a folder that no manifest names yet."""
+    def _written(self, df: DataFrame, rows: int = 0) -> list[dict]:
+        """Writes one file for each task with rows, or for each ``rows`` rows of it, in a folder that no manifest names yet."""
         folder = f"{self.path}/shards/{uuid.uuid4().hex}"
-        df.write.parquet(folder)
+        df.write.option("maxRecordsPerFile", rows).parquet(folder)
         return [{"name": n, "bytes": size} for n, size in self._list(folder) if n.endswith(".parquet")]
 
     def _merged(self, union: DataFrame) -> list[dict]:
@@ -122,14 +124,38 @@ class Store:
         finally:
             conf.set(key, before)
 
-    def append(self, arrival: DataFrame) -> Manifest:
-        """Commits the rows of ``arrival`` as small shards, one for each of its partitions."""
+    def _cut(self, shards: list[dict], most: int, schema: str) -> list[dict]:
+        """Shards over ``most`` bytes are written again with fewer rows to a file, until only single rows are over it."""
+        done = [s for s in shards if s["bytes"] <= most]
+        large = [s for s in shards if s["bytes"] > most]
+        while large:
+            counts = self._read([s["name"] for s in large], schema).groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()
+            rows = {r["f"].rpartition("/")[2]: r["n"] for r in counts}
+            by: dict[int, list[str]] = {}  # by rows to a file, as a power of two: dense and sparse shards apart
+            for s in large:
+                n = rows.get(s["name"].rpartition("/")[2], 0)
+                if n < 2:
+                    done.append(s)
+                else:
+                    by.setdefault(1 << max(1, n * most * 3 // 4 // s["bytes"]).bit_length() - 1, []).append(s["name"])
+            large = []
+            for n, names in by.items():
+                new = self._written(self._read(names, schema), n)
+                done += [s for s in new if s["bytes"] <= most]
+                large += [s for s in new if s["bytes"] > most]
+                for name in names:
+                    delete(self.spark, name)
+        return done
+
+    def append(self, arrival: DataFrame, most: int | None = None) -> Manifest:
+        """Commits the rows of ``arrival`` as shards, one for each of its partitions; partitions of over ``most``
+        bytes (the target, if not given) are cut into more."""
         if clash := {"_shard", "_group", "_tier"} & set(arrival.columns):
             raise ValueError(f"columns of the store: {sorted(clash)}")
         now, schema = self.manifest(), arrival.schema.json()
         if now.schema not in (None, schema):
             raise ValueError("the schema differs from the store's")
-        after = Manifest(now.version + 1, schema, now.shards + self._written(arrival))
+        after = Manifest(now.version + 1, schema, now.shards + self._cut(self._written(arrival), most or self.target, schema))
         self.commit(after)
         return after
 

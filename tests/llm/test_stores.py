@@ -1,7 +1,8 @@
 import odd
 import pytest
+from pyspark.sql import functions as F
 
-from docsieve.llm import common, sharding, warc
+from docsieve.llm import common, queries, sharding, warc
 
 
 @pytest.fixture
@@ -70,3 +71,36 @@ def test_plan_of_tiers():
     shards = [{"name": str(k), "bytes": 10} for k in range(9)] + [{"name": "x", "bytes": 900}, {"name": "y", "bytes": 90}]
     groups = sharding.plan(shards, 40, 4, 10)
     assert [len(g) for g in groups] == [4, 4] and sharding.plan(shards[:3], 1000, 4, 10) == []
+
+
+def test_plan_over_half_the_target():
+    for size in (32, 33, 40, 47):
+        groups = sharding.plan([{"name": str(k), "bytes": size << 20} for k in range(20)], 64 << 20, 4, 8 << 20)
+        assert [len(g) for g in groups] == [2] * 10, size
+    assert sharding.plan([{"name": str(k), "bytes": 48 << 20} for k in range(20)], 64 << 20, 4, 8 << 20) == []
+
+
+def test_append_cuts_large_pieces(spark, folder):
+    store = sharding.Store(spark, folder, target=200_000, fan=3, small=20_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    wide = docs.limit(1).withColumn("text", F.lit("".join(map(str, range(40_000)))))
+    first = store.append(docs.union(wide).coalesce(1), 20_000)
+    over = [s["name"] for s in first.shards if s["bytes"] > 20_000]
+    assert len(first.shards) > 12 and all(spark.read.parquet(n).count() == 1 for n in over)
+    assert store.read().drop("_shard").exceptAll(docs.union(wide)).count() == 0 and store.read().count() == 201
+
+
+def test_sharding_query(spark, monkeypatch):
+    monkeypatch.setattr(queries, "SHARD_TARGET", 200_000)
+    monkeypatch.setattr(queries, "SHARD_SMALL", 25_000)
+    data = "/root/testdata/sf0.01"
+    docs, stores = spark.read.parquet(f"{data}/documents.parquet"), []
+    monkeypatch.setattr(sharding.Store, "vacuum", lambda self: stores.append(self))
+    rows = queries.op5_sharding(spark, data).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    store = stores[0]
+    assert {r["version"] for r in rows} == {store.versions()[-1]} and store.versions()[-1] > 4
+    assert all(s["bytes"] <= 25_000 for s in store.manifest(1).shards)
+    near = [s["bytes"] for s in store.manifest().shards if s["bytes"] >= 150_000]
+    rest = [s for s in store.manifest().shards if s["bytes"] < 150_000]  # fewer than the fan in each tier
+    assert len(near) >= 4 and max(near) <= 300_000 and len(rest) < 8 and sharding.plan(rest, 200_000, 4, 25_000) == []
