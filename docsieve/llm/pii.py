@@ -102,8 +102,8 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 
 def proposed(text: str) -> Iterator[tuple[int, int, int]]:
     """Looser spans: kind's number, start, end."""
-    low = text if len(text) < 1 << 16 else text
-    if "(at)" in low or "[at]" in low or (" at " in low and " dot " in low):
+    low = text.lower()  # the pattern takes either case; with a plain at, only a written dot is taken below
+    if "(at)" in low or "[at]" in low or (" at " in low and (" dot " in low or "(dot)" in low or "[dot]" in low)):
         for m in _LOOSE_MAIL.finditer(text):
             if "(" in m[0] or "[" in m[0] or " dot " in m[0].lower():
                 yield 0, *m.span()

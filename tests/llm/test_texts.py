@@ -206,6 +206,17 @@ def test_pii(spark, docs, texts):
     assert "phone" in next(r["spans"] for r in rows if r["doc_id"] == 911)
 
 
+def test_pii_written_out():
+    for t in ("JOHN (AT) EXAMPLE (DOT) COM", "john [At] example.com", "john at example(dot)com", "john at example [dot] com", "JOHN AT EXAMPLE DOT COM", "john at example dot com"):
+        assert list(pii.proposed(t)) == [(0, 0, len(t))], t
+    rng = random.Random(3)
+    parts = ["(at)", "[AT]", " at ", " At ", "(Dot)", "[dot]", " DOT ", ".", " ", "a", "Com", "b-c"]
+    for _ in range(20_000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(3, 9)))
+        want = [(0, *m.span()) for m in pii._LOOSE_MAIL.finditer(t) if "(" in m[0] or "[" in m[0] or " dot " in m[0].lower()]
+        assert list(pii.proposed(t)) == want, t
+
+
 def test_reliabilities():
     rng = np.random.default_rng(0)
     patterns: Counter = Counter()
