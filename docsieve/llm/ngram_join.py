@@ -90,8 +90,8 @@ def slots_of(s: np.ndarray) -> np.ndarray:
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document; at the end, one with this task's counts by slot."""
-    names = ["doc_id", "n_shingles", "cid", "counts", "sketch"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    names = ["doc_id", "row_key", "n_shingles", "cid", "counts", "sketch"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
     sketch = np.zeros(SLOTS, np.int64)
     for b in batches:
         raw, at = text_buffer(b.column("text"))
@@ -101,9 +101,9 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cid.append(class_id(s) if len(s) else None)
             counts.append(counts_of(s) if len(s) else None)
             np.add.at(sketch, slots_of(s), 1)
-        cols = [b.column("doc_id").cast(pa.int64()), n, cid, counts, [None] * len(n)]
+        cols = [b.column("doc_id").cast(pa.int64()), b.column("row_key"), n, cid, counts, [None] * len(n)]
         yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
-    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([None, None, None, None, sketch], types, strict=True)], names=names)
+    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([None, None, None, None, None, sketch], types, strict=True)], names=names)
 
 
 def prefix_of(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -333,13 +333,23 @@ def _cells(df: DataFrame) -> DataFrame:
     return df.repartition(n, *_CELL).sortWithinPartitions(*_CELL)
 
 
+def row_key():
+    """64 bits of a row's doc_id and text: finds the texts of a class again, also where doc_id is null or repeated."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def ngram_join(docs: DataFrame) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, class_id."""
+    return joined(docs).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """The same with row_key and comp, the component's smallest class, which also tells components of one id apart."""
     spark = docs.sparkSession
     ready(spark)
     out = Scratch(spark, "ngram")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = out.table(texts.mapInArrow(_described, "doc_id long, n_shingles long, cid long, counts binary, sketch array<long>"), "described")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text")
+    described = out.table(texts.mapInArrow(_described, "doc_id long, row_key long, n_shingles long, cid long, counts binary, sketch array<long>"), "described")
     rows = described.where("sketch is null").drop("sketch")
     slots = described.where("sketch is not null").select(F.posexplode("sketch").alias("slot", "n")).groupBy("slot").agg(F.sum("n").alias("n")).where("n > 0").collect()
     rank = np.zeros(SLOTS, np.int64)  # SLOTS numbers, however large the corpus is
@@ -408,9 +418,9 @@ def ngram_join(docs: DataFrame) -> DataFrame:
         .select("cid", "rep", F.coalesce("comp", "cid").alias("comp"))
     )
     names = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    final = named.join(names, "comp").select("cid", "component_id")
+    final = named.join(names, "comp").select("cid", "comp", "component_id")
     return rows.join(final, "cid", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("cid").alias("class_id")
+        "row_key", "comp", "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("cid").alias("class_id")
     )
 
 
@@ -422,10 +432,9 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _sets(out: Scratch, texts: DataFrame, rows: DataFrame, used: DataFrame, name: str) -> DataFrame:
-    """cid, shingles of the classes ``used``, made again from one text of each; a repeated doc_id can bring other
-    texts, which are left out."""
-    ids = out.table(rows.join(used, "cid").groupBy("cid").agg(F.min("doc_id").alias("doc_id")), f"{name}-ids")
-    sets = join_checked(texts, ids, "doc_id", "inner").mapInArrow(_sets_checked, "cid long, shingles binary").groupBy("cid").agg(F.min("shingles").alias("shingles"))
+    """cid, shingles of the classes ``used``, made again from the rows of one key of each."""
+    ids = out.table(rows.join(used, "cid").groupBy("cid").agg(F.min("row_key").alias("row_key")), f"{name}-ids")
+    sets = join_checked(texts.select("row_key", "text"), ids, "row_key", "inner").mapInArrow(_sets_checked, "cid long, shingles binary").groupBy("cid").agg(F.min("shingles").alias("shingles"))
     return out.table(sets, f"{name}-sets")
 
 
@@ -440,7 +449,9 @@ def _verified(out: Scratch, texts: DataFrame, rows: DataFrame, pairs: DataFrame,
 
 
 def _sets_checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
     for b in batches:
+        b = b.filter(pa.array([not (c in seen or seen.add(c)) for c in b.column("cid").to_pylist()], pa.bool_()))  # a copied row once a task
         raw, at = text_buffer(b.column("text"))
         cids, sets = [], []
         for want, s in zip(b.column("cid").to_pylist(), shingle_sets(raw, at), strict=True):
@@ -448,6 +459,8 @@ def _sets_checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 cids.append(want)
                 sets.append(s.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "shingles"])
+        if len(seen) > 200_000:
+            seen.clear()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -77,6 +77,20 @@ def test_empty_and_odd_rows(spark):
     assert run(spark, rows) == sorted([(None, 2, 3), (None, 0, None), (3, 2, 3), (3, 2, 3), (4, 0, 4)], key=str)
 
 
+def test_null_ids_near_copies_and_chains(spark):
+    w = [f"w{k}" for k in range(100)]
+    near = lambda *at: " ".join("z" if k in at else x for k, x in enumerate(w))
+    rows = [(1, near()), (None, near(99))]
+    assert run(spark, rows) == brute(rows) and {r[2] for r in run(spark, rows)} == {1}
+    rows = [(1, near()), *[(None, near(0, 20))] * 3, (9, near(0, 20, 50, 70)), (None, "x " + near(7, 13, 30, 60, 90)), (None, None), (None, "")]
+    assert run(spark, rows) == brute(rows)
+    assert len(shingles(rows[0][1]) & shingles(rows[4][1])) * 100 < 80 * len(shingles(rows[0][1]) | shingles(rows[4][1]))
+    assert [c for d, _, c in run(spark, rows) if d == 9] == [1]
+    texts = family(random.Random(6), 30, 60, 4)
+    rows = [(None if k % 3 else k, t) for k, t in enumerate(texts)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_keep_one(spark):
     rows = [(5, "a b c d e f", "x"), (2, "A b c d e f", "y"), (2, "A b c d e f", "y"), (7, "", "z"), (None, "a b c d e f", "n"), (9, "q r s t u v w", "w"), (8, None, "v")]
     out = J.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, _q_key string"))
