@@ -26,8 +26,8 @@ On a cluster the sets meet as follows.
    out, and what is returned grows with the members, not with their pairs.
 
 Nulls and empty texts have no shingles, class or link; each is its own
-component. Rows with one doc_id are handled as rows of their own and end in one
-component. A null doc_id can't name a component; if all members have none, it
+component. Rows with one doc_id are handled as rows of their own, each in the
+component of its text. A null doc_id can't name a component; if all members have none, it
 is null. Sets are compared by 64-bit hashes of shingles.
 """
 
@@ -467,13 +467,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id.
 
     Rows without words stay, as do rows with a null doc_id (nothing names them).
-    Of repeated rows of one doc_id that have words, one stays."""
-    found = ngram_join(docs).where("doc_id is not null and n_shingles > 0")
+    Rows are told apart by doc_id and text: of rows of one doc_id, those in one component leave one, and
+    texts that aren't near copies stay each."""
+    found = joined(docs).where("doc_id is not null and n_shingles > 0").select(F.col("row_key").alias("_j_key"), "doc_id", "comp", "component_id")
     found = Scratch(docs.sparkSession, "kept").table(found, "rows")
-    lost = found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
-    out = join_checked(docs, lost.where("doc_id != c").select("doc_id"), "doc_id", "left_anti")
-    twice = lost.where("doc_id = c and n > 1").select("doc_id")
-    if not twice.take(1):
-        return out
-    same = join_checked(out, twice, "doc_id", "left_semi")
-    return join_checked(out, twice, "doc_id", "left_anti").unionByName(same.dropDuplicates(["doc_id"]))
+    keyed = docs.withColumn("_j_key", row_key())
+    out = join_checked(keyed, found.where("doc_id != component_id").select("_j_key").distinct(), "_j_key", "left_anti")
+    same = found.where("doc_id = component_id").groupBy("comp").agg(F.count("*").alias("n"), F.min("_j_key").alias("least")).where("n > 1")
+    if not same.take(1):
+        return out.drop("_j_key")
+    # of these components the rows with the smallest key stay, once
+    twice = found.where("doc_id = component_id").join(same, "comp").groupBy("_j_key").agg(F.max(F.col("_j_key") == F.col("least")).alias("_j_stays"))
+    once = join_checked(out, twice.where("_j_stays").select("_j_key"), "_j_key", "left_semi").dropDuplicates(["_j_key"])
+    return join_checked(out, twice.select("_j_key"), "_j_key", "left_anti").unionByName(once).drop("_j_key")

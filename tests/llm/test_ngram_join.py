@@ -98,6 +98,12 @@ def test_keep_one(spark):
     assert sorted((r[0] or 0, r[2]) for r in out.collect()) == [(0, "n"), (2, "y"), (7, "z"), (8, "v"), (9, "w")]
 
 
+def test_keep_one_of_repeated_ids(spark):
+    rows = [(1, "a b c d e f", "a"), (5, "a b c d e f", "copy"), (5, "q r s t u v w", "q"), (5, "", "empty"), (5, "g h i j k l", "g"), (5, "G h i j k l", "g")]
+    out = J.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, name string"))
+    assert sorted((r[0], r[2]) for r in out.collect()) == [(1, "a"), (5, "empty"), (5, "g"), (5, "q")]
+
+
 def test_words_by_pieces(monkeypatch):
     import docsieve.llm.kernels as K
 
