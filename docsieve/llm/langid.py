@@ -42,18 +42,18 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def tokens(raw: np.ndarray) -> np.ndarray:
-    """Buckets of all subwords of bytes that are lower-cased already."""
+def tokens(raw: np.ndarray, begin: int | None = None) -> np.ndarray:
+    """Buckets of all subwords of bytes that are lower-cased already, or of those that begin in the first ``begin`` bytes."""
     if len(raw) < 2:
         return np.zeros(0, np.int64)
     x = np.where(_WHITE[raw], np.uint8(0x20), raw).astype(np.uint32)
     two = x[:-1] * np.uint32(0x9E3779B1) + x[1:] * np.uint32(0x85EBCA6B)
-    out = [two]
+    out = [two[:begin]]
     h = two
     for k in (2, 3):
         if len(x) > k:
             h = h[:-1] * np.uint32(0xC2B2AE35) + x[k:] * np.uint32(0x27D4EB2F)
-            out.append(h)
+            out.append(h[:begin])
     h = np.concatenate(out)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
@@ -72,7 +72,7 @@ class Model:
         raw = np.frombuffer(lowered.encode("utf-8", "surrogatepass"), np.uint8)
         total, n = np.zeros(len(self.langs)), 0
         for a in range(0, max(1, len(raw)), _CHUNK):  # long texts in pieces; a piece reads 3 bytes on
-            b = tokens(raw[a : a + _CHUNK])
+            b = tokens(raw[a : a + _CHUNK + 3], _CHUNK)
             total += np.bincount(b, minlength=BUCKETS).astype(np.float32) @ self.table if len(b) > BUCKETS else self.table[b].sum(0)
             n += len(b)
         return total / max(1, n) + self.bias

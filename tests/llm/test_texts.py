@@ -239,6 +239,17 @@ def test_language(spark):
     assert langid.train([]).predict("text") == ("und", 0.0, False) and langid.train([("abc", "x")]).predict("1 2 3")[0] == "und"
 
 
+def test_language_in_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = langid.Model(["a", "b"], rng.normal(size=(langid.BUCKETS, 2)).astype(np.float32), np.zeros(2))
+    for n in (1, 7, 8, 9, 15, 16, 17, 18, 100):
+        text = "".join(map(chr, rng.integers(97, 123, n)))
+        monkeypatch.setattr(langid, "_CHUNK", 1 << 19)
+        want = model.logits(text)
+        monkeypatch.setattr(langid, "_CHUNK", 8)
+        assert np.allclose(model.logits(text), want, rtol=1e-5, atol=1e-5), n
+
+
 # lines
 
 
