@@ -15,6 +15,12 @@ from . import scalars as S
 from .scalars import Val, kind
 
 
+def _bound(values: list[Column], f) -> Column:
+    """``f`` of values that are computed once, however often it uses them."""
+    row = F.array(F.struct(*(x.alias(f"x{i}") for i, x in enumerate(values))))
+    return F.get(F.transform(row, lambda s: f(*(s[f"x{i}"] for i in range(len(values))))), 0)
+
+
 class Columns:
     """Compiles nodes against a context value."""
 
@@ -190,17 +196,31 @@ class Columns:
         """Maps aren't comparable in Spark; their sorted entries are."""
         return F.array_sort(F.map_entries(v.col)) if isinstance(v.type, T.MapType) else v.column()
 
+    def _runs(self, a: Column, keys: Column, made) -> Column:
+        """``made(a, runs)``, where a run lists the places of one key, and runs come in the order of their first.
+
+        One sort by key and place, then a look at each one's neighbour: n log n."""
+        placed = F.array_sort(F.transform(keys, lambda k, i: F.struct(k["k"].alias("k"), i.alias("i"))))
+
+        def begins(s: Column) -> Column:
+            return F.filter(F.transform(s, lambda x, j: F.when((j == 0) | ~F.get(s, j - 1)["k"].eqNullSafe(x["k"]), j)), lambda j: j.isNotNull())
+
+        def runs(s: Column, b: Column) -> Column:
+            return F.array_sort(F.transform(b, lambda p, g: F.slice(s, p + 1, F.coalesce(F.get(b, g + 1), F.size(s)) - p)["i"]))
+
+        out = _bound([placed], lambda s: _bound([s, begins(s)], runs))
+        return F.when(a.isNotNull(), _bound([a, out], made))
+
     def op_group_by(self, v: Val, k: A.Node) -> Val:
         a, t, keys, kt = self._keys("group_by", v, k)
-        first = F.array_distinct(keys)
-        out = F.transform(
-            first,
-            lambda q: F.struct(
-                self.value(k, Val(F.get(a, F.array_position(keys, q).cast("int") - 1), t)).column().alias("key"),
-                F.filter(a, lambda x, i: F.get(keys, i) == q).alias("values"),
-            ),
-        )
-        return Val(out, T.ArrayType(T.StructType([T.StructField("key", kt), T.StructField("values", v.type)])))
+
+        def made(a: Column, runs: Column) -> Column:
+            return F.transform(
+                runs,
+                lambda r: F.struct(self.value(k, Val(F.get(a, F.get(r, 0)), t)).column().alias("key"), F.transform(r, lambda i: F.get(a, i)).alias("values")),
+            )
+
+        return Val(self._runs(a, keys, made), T.ArrayType(T.StructType([T.StructField("key", kt), T.StructField("values", v.type)])))
 
     def op_unique(self, v: Val) -> Val:
         return self._firsts("unique", v, None)
@@ -212,7 +232,7 @@ class Columns:
         a, _, keys, _ = self._keys(op, v, k)
         if k is None and kind(v.type.elementType) not in ("map", "list"):
             return Val(F.array_distinct(a), v.type)
-        return Val(F.filter(a, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1), v.type)
+        return Val(self._runs(a, keys, lambda a, runs: F.transform(runs, lambda r: F.get(a, F.get(r, 0)))), v.type)
 
     def op_flatten(self, v: Val) -> Val:
         a, t = self.list_("flatten", v)
@@ -299,12 +319,13 @@ class Columns:
             raise QueryError("from_entries: expected entries with a string key")
         value = t["value"].dataType if "value" in t.names else T.NullType()
         a = F.filter(a, lambda x: x.isNotNull())
-        keys = F.transform(a, lambda x: S.checked(Val(x["key"], T.StringType()), "from_entries", True))
-        values = F.transform(a, lambda x: x["value"] if "value" in t.names else F.lit(None))
-        # of equal keys the last value, at the place of the first
-        names = F.array_distinct(keys)
-        last = F.transform(names, lambda n: F.get(F.reverse(values), F.array_position(F.reverse(keys), n).cast("int") - 1))
-        return Val(F.map_from_arrays(names, last), T.MapType(T.StringType(), value))
+        keys = F.transform(a, lambda x: F.struct(S.checked(Val(x["key"], T.StringType()), "from_entries", True).alias("k")))
+
+        def made(a: Column, runs: Column) -> Column:  # of equal keys the last value, at the place of the first
+            last = F.transform(runs, lambda r: F.get(a, F.element_at(r, -1))["value"] if "value" in t.names else F.lit(None))
+            return F.map_from_arrays(F.transform(runs, lambda r: F.get(a, F.get(r, 0))["key"]), last)
+
+        return Val(self._runs(a, keys, made), T.MapType(T.StringType(), value))
 
     def op_filter_values(self, v: Val, p: A.Node) -> Val:
         m = self.as_map(v, "filter_values")

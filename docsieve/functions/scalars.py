@@ -23,11 +23,12 @@ NUMBERS = (*INTS, T.FloatType, T.DoubleType, T.DecimalType)
 
 @dataclass(frozen=True)
 class Val:
-    """A column with its type. A row that isn't a column yet has its fields instead."""
+    """A column with its type. A row that isn't a column yet has its fields instead; a number from the query's text is known."""
 
     col: Column | None
     type: T.DataType
     fields: dict | None = None
+    known: float | None = None
 
     def column(self) -> Column:
         if self.fields is None:
@@ -59,7 +60,7 @@ def literal(value) -> Val:
     if value is None:
         return null()
     t = T.BooleanType() if isinstance(value, bool) else T.LongType() if isinstance(value, int) else T.DoubleType() if isinstance(value, float) else T.StringType()
-    return Val(F.lit(value).cast(t), t)
+    return Val(F.lit(value).cast(t), t, known=None if isinstance(value, (bool, str)) else value)
 
 
 def checked(v: Val, op: str, strict: bool) -> Column:
@@ -88,17 +89,10 @@ def arithmetic(op: str, a: Val, b: Val, strict: bool) -> Val:
     if op == "%":
         zero = F.lit(float("nan"))
         rest = F.pmod(x, F.abs(F.when(y != 0, y)))
-        return Val(F.when(y == 0, zero).otherwise(rest.cast("double")), T.DoubleType()) if not whole or not _nonzero(b) else Val(F.pmod(x, F.abs(y)), t)
+        return Val(F.when(y == 0, zero).otherwise(rest.cast("double")), T.DoubleType()) if not whole or not b.known else Val(F.pmod(x, F.abs(y)), t)
     return Val({"+": x + y, "-": x - y, "*": x * y}[op], t)
 
 
-def _nonzero(v: Val) -> bool:
-    """Whether a divisor is a literal other than zero, so that the result is whole."""
-    text = str(v.col)
-    digits = "".join(c for c in text if c.isdigit())
-    return "CAST(" in text and digits.strip("0") != "" and not any(c == "." for c in text)
-
-
 def order(op: str, a: Val, b: Val, strict: bool) -> Val:
     if not (kind(a.type) == kind(b.type) and kind(a.type) in ("number", "time")):
         raise EvalError(f"{op}: cannot compare {kind(a.type)} with {kind(b.type)}")
@@ -149,7 +143,7 @@ def binary(op: str, a: Val, b: Val, strict: bool) -> Val:
 def unary(op: str, v: Val, strict: bool) -> Val:
     need(v, op, "number" if op == "-" else "boolean")
     x = checked(v, op, strict)
-    return Val(-x if op == "-" else ~x, v.type)
+    return Val(-x if op == "-" else ~x, v.type, known=None if v.known is None else -v.known)
 
 
 def unified(a: Val, b: Val) -> T.DataType:

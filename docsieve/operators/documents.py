@@ -11,18 +11,20 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import QueryError
 from ..functions.values import run
 from ..plans.ast import Node
-from ..sources import formats
+from ..sources import formats, writers
 
 
 def query_documents(node: Node, df: DataFrame, column: str, fmt: str | None = None, errors: str = "raise") -> DataFrame:
     """``df`` with ``value``: the result as JSON text (null if ``column`` is null).
 
     ``fmt`` None sniffs each text. With ``errors`` "keep", a failing document has
-    a null value and its message in ``error``; else it ends the query."""
+    a null value and its message in ``error``; else it ends the query. Columns of these
+    names are replaced, as ``withColumn`` does."""
 
     def one(text: str | None) -> tuple[str | None, str | None]:
         if text is None:
@@ -34,11 +36,28 @@ def query_documents(node: Node, df: DataFrame, column: str, fmt: str | None = No
                 raise
             return None, str(e)
 
+    kept = [c for c in df.columns if c not in ("value", "error")]
+    given = df.select(*("`" + c.replace("`", "``") + "`" for c in kept), F.col(column).cast("string").alias("value"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [one(t) for t in b.column("value").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array([f[k] for f in found], pa.string()) for k in (0, 1))], names=[*kept, "value", "error"])
+
+    return given.mapInArrow(each, T.StructType([*given.schema.fields, T.StructField("error", T.StringType())]))
+
+
+def render(df: DataFrame, fmt: str, name: str = "text") -> DataFrame:
+    """``df`` with each row as a document's text in a format: a map, or for CSV and TSV a list of that map.
+
+    The row's values are plain ones; times become text."""
+    row = [c for c in df.columns if c != name]
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [one(t) for t in b.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([f[k] for f in found], pa.string()) for k in (0, 1))], names=[*b.schema.names, "value", "error"])
+            rows = [formats.plain({k: r[k] for k in row}) for r in b.to_pylist()]
+            texts = [writers.write([r] if fmt in ("csv", "tsv") else r, fmt) for r in rows]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in row), pa.array(texts, pa.string())], names=[*row, name])
 
-    schema = df.schema.add("value", "string").add("error", "string")
-    df = df.withColumn(column, F.col(column).cast("string"))
-    return df.mapInArrow(each, schema)
+    given = df.select(*("`" + c.replace("`", "``") + "`" for c in row))
+    return given.mapInArrow(each, T.StructType([*given.schema.fields, T.StructField(name, T.StringType())]))

@@ -8,15 +8,21 @@ here adds is what Catalyst can't know:
 * several aggregates of one relation, as in ``{n: . | length, s: . | map(.x) | sum}``,
   are one pass.
 * positions are made only if a later operation sees the order; ``reverse`` flips
-  the order, and ``[:k]`` behind a sort becomes a top-k.
+  the order, and ``[:k]`` behind a sort becomes a top-k. ``[n:]`` and slices that begin
+  or end far from the start sort by ranges, count the ranges and number the rows in them.
 * a null guard hides a comparison from the scan, so filters also get the bare
   comparison "or null", which is pushed down.
+
+A list that stands as a value inside another one, and the values of groups whose
+body isn't an aggregate, are one row each; beyond ``LIST_ROWS`` rows they are refused
+before they are gathered.
 """
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass, field, replace
-from itertools import count
+from itertools import accumulate, count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +35,12 @@ from ..functions.scalars import Val, kind
 from ..plans import ast as A
 
 _numbers = count()
-POSITION = "_pos"
+#: Rows that a list may have which must be one value.
+LIST_ROWS = 1_000_000
+#: Rows that a slice may reach from either end as a top-k; beyond it, rows are numbered by ranges.
+TOP_ROWS = 100_000
+#: Operations on a list of rows that give a list of rows.
+LISTS = ("filter", "map", "sort", "sort_by", "reverse", "group_by", "unique", "unique_by", "flatten", "keys", "values")
 
 
 def _fresh(name: str) -> str:
@@ -38,7 +49,9 @@ def _fresh(name: str) -> str:
 
 @dataclass
 class Rel:
-    """A DataFrame, what of it is the element, and its order (column, ascending)."""
+    """A DataFrame, what of it is the element, and its order (column, ascending).
+
+    Columns are named by the planner; those of the user's table are reached through ``elem`` only."""
 
     df: DataFrame
     elem: Val
@@ -48,6 +61,29 @@ class Rel:
     def by(self) -> list[Column]:
         return [F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in self.order]
 
+    def place(self) -> Column:
+        """The whole order as one value that is compared upwards, nulls first where it ascends."""
+        return F.struct(*(part for c, up in self.order for part in upwards(F.col(c), self.df.schema[c].dataType, up)))
+
+
+def upwards(x: Column, t: T.DataType, up: bool) -> list[Column]:
+    """Values whose ascending order is that of ``x`` in its direction."""
+    if isinstance(t, T.NullType):
+        return [F.lit(0)]
+    if up:
+        return [x]
+    if isinstance(t, T.StructType):
+        return [y for f in t.fields for y in upwards(x.getField(f.name), f.dataType, False)]
+    if S.is_int(t):
+        flipped = F.bitwise_not(x)
+    elif kind(t) == "time":
+        flipped = F.bitwise_not(F.unix_date(x).cast("long") if isinstance(t, T.DateType) else F.unix_micros(x.cast("timestamp")))
+    elif kind(t) == "number":
+        return [x.isNull(), ~F.isnan(x.cast("double")), -x]
+    else:  # hexadecimal digits reversed; a longer string comes before its beginning
+        flipped = F.concat(F.translate(F.hex(x), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+    return [x.isNull(), flipped]
+
 
 @dataclass
 class Groups:
@@ -128,13 +164,38 @@ def needs_position(node: A.Node) -> bool:
             return needs_position(left) or not _is_sorted(left)
         case A.Pipe(left, A.Op()):
             return needs_position(left)
+        case A.Object() | A.Binary() | A.Text() | A.If():  # a list that is a value inside shows its order
+            return any(needs_position(x) or _is_list(x) for x in A.children(node))
     return any(map(needs_position, A.children(node)))
 
 
+def _is_list(node: A.Node) -> bool:
+    """Whether a node gives the rows as a list."""
+    match node:
+        case A.Identity():
+            return True
+        case A.Pipe(left, A.Op(name)):
+            return name in LISTS and _is_list(left)
+        case A.Slice(left):
+            return _is_list(left)
+    return False
+
+
+def _named(fields: dict[str, Val]) -> Val:
+    return Val(None, T.StructType([T.StructField(k, v.type) for k, v in fields.items()]), fields)
+
+
 def row_of(df: DataFrame) -> Val:
     """A row of a frame as a value: its columns are reached as such, so unused ones aren't read."""
-    fields = {f.name: Val(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields if not f.name.startswith(POSITION)}
-    return Val(None, T.StructType([T.StructField(k, v.type) for k, v in fields.items()]), fields)
+    return _named({f.name: Val(F.col("`" + f.name.replace("`", "``") + "`"), f.dataType) for f in df.schema.fields})
+
+
+def table(df: DataFrame) -> Rel:
+    """A frame as a list. Its columns get names of the planner's, so none can clash with those that it adds."""
+    row = row_of(df)
+    names = {k: f"c{i}" for i, k in enumerate(row.fields)}
+    df = df.select(*(v.col.alias(names[k]) for k, v in row.fields.items()))
+    return Rel(df, _named({k: Val(F.col(names[k]), v.type) for k, v in row.fields.items()}))
 
 
 class Relations:
@@ -144,9 +205,9 @@ class Relations:
         self.strict, self.columns = strict, Columns(strict)
 
     def run(self, node: A.Node, df: DataFrame) -> DataFrame:
+        rel = table(df)
         if needs_position(node):
-            df = df.withColumn(POSITION, F.monotonically_increasing_id())
-        rel = Rel(df, row_of(df), [(POSITION, True)] if POSITION in df.columns else [])
+            rel = replace(rel, df=rel.df.withColumn("_pos", F.monotonically_increasing_id()), order=[("_pos", True)])
         return self.finish(self.compile(node, rel))
 
     # results
@@ -218,8 +279,7 @@ class Relations:
             case A.Object(entries):
 
                 def made(*values: Val) -> Val:
-                    fields = dict(zip([k for k, _ in entries], values, strict=True))
-                    return Val(None, T.StructType([T.StructField(k, v.type) for k, v in fields.items()]), fields)
+                    return _named(dict(zip([k for k, _ in entries], values, strict=True)))
 
                 return self._join([self.compile(v, ctx) for _, v in entries], made)
         raise QueryError(f"cannot plan {node!r}")
@@ -231,9 +291,10 @@ class Relations:
         if isinstance(x, (Rel, Groups)):
             rel = self._rel(x)  # a list as a value inside another one
             name = _fresh("list")
-            place = F.struct(*(F.col(c) for c, _ in rel.order), rel.elem.column().alias("e"))
-            got = F.transform(F.sort_array(F.collect_list(place)), lambda s: s["e"]) if rel.order else F.collect_list(rel.elem.column())
-            return Scalar({name: (rel, got)}, Val(F.col(name), T.ArrayType(rel.elem.type)))
+            got = _gathered(rel)
+            rel = replace(rel, df=rel.df.limit(LIST_ROWS + 1))  # if it is reached, the list is refused
+            over = F.raise_error(F.lit(f"a list of over {LIST_ROWS} rows can't be one value")).cast(T.ArrayType(rel.elem.type))
+            return Scalar({name: (rel, F.when(F.count(F.lit(1)) > LIST_ROWS, over).otherwise(got))}, Val(F.col(name), T.ArrayType(rel.elem.type)))
         return x if isinstance(x, Scalar) else Scalar({}, x)
 
     def _join(self, values: list, made) -> Scalar | Val:
@@ -315,10 +376,28 @@ class Relations:
         return replace(rel, order=[(c, not up) for c, up in rel.order], sorted=True)
 
     def _limited(self, rel: Rel, offset: int, n: int | None) -> Rel:
+        if offset + (n or 0) > TOP_ROWS or (n is None and offset):
+            return self._numbered(rel, offset, n)
         df = rel.df.orderBy(*rel.by())
         df = df.offset(offset) if offset else df
         return replace(rel, df=df.limit(n) if n is not None else df, sorted=True)
 
+    def _numbered(self, rel: Rel, offset: int, n: int | None) -> Rel:
+        """Rows ``offset`` to ``offset + n`` of the order, by ranges of it: each task sorts one range, the ranges
+        are counted, and a row's number is its range's start and its place there. No task has all rows. The
+        sorted rows are written to the checkpoint folder, since another run might cut other ranges."""
+        checkpoints(rel.df.sparkSession)
+        at, start = _fresh("at"), _fresh("start")
+        df = rel.df.orderBy(*rel.by()).withColumn(at, F.monotonically_increasing_id()).checkpoint()
+        part = F.shiftright(at, 33)
+        counts = {r["p"]: r["n"] for r in df.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each range
+        starts = list(accumulate((counts.get(p, 0) for p in range(max(counts, default=-1) + 1)), initial=0))
+        if counts:
+            df = df.withColumn(start, F.get(F.array(*map(F.lit, starts)).cast("array<bigint>"), part.cast("int")) + F.col(at).bitwiseAND((1 << 33) - 1))
+            df = df.where(F.col(start) >= offset) if n is None else df.where((F.col(start) >= offset) & (F.col(start) < offset + n))
+            df = df.drop(at).withColumnRenamed(start, at)
+        return replace(rel, df=df, order=[(at, True)], sorted=True)
+
     def _only(self, rel: Rel) -> Scalar:
         name = _fresh("one")
         return Scalar({name: (rel, F.first(F.struct(rel.elem.column().alias("e"))))}, Val(F.col(name)["e"], rel.elem.type))
@@ -362,8 +441,7 @@ class Relations:
     def rel_unique(self, rel: Rel) -> Rel:
         df, c = self._with(rel, "elem", rel.elem)
         if not rel.order:
-            df = df.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-            return Rel(df, Val(F.col(c), rel.elem.type))
+            return Rel(df.groupBy(c).agg(F.count(F.lit(1)).alias(_fresh("n"))), Val(F.col(c), rel.elem.type))
         return self._one_each(replace(rel, df=df), c, Val(F.col(c), rel.elem.type))
 
     def rel_unique_by(self, rel: Rel, k: A.Node) -> Rel:
@@ -372,10 +450,9 @@ class Relations:
 
     def _one_each(self, rel: Rel, key: str, elem: Val) -> Rel:
         """The first element of each key: a combinable aggregate, not a window."""
-        place = F.struct(*(F.col(c) if up else -F.col(c) for c, up in rel.order[-1:]))
-        aggs = [F.min_by(elem.column(), place).alias("_e"), *(F.min_by(F.col(c), place).alias(c) for c, _ in rel.order)]
-        df = rel.df.groupBy(key).agg(*aggs)
-        return Rel(df, Val(F.col("_e"), elem.type), rel.order, rel.sorted)
+        place, e = _fresh("place"), _fresh("elem")
+        df = rel.df.groupBy(key).agg(F.min_by(elem.column(), rel.place()).alias(e), F.min(rel.place()).alias(place))
+        return Rel(df, Val(F.col(e), elem.type), [(place, True)], rel.sorted)
 
     def rel_flatten(self, rel: Rel) -> Rel:
         t = rel.elem.type
@@ -430,10 +507,8 @@ class Relations:
         return rel
 
     def rel_keys(self, rel: Rel) -> Rel:
-        """0 to n - 1, of which the count alone is needed."""
-        n = rel.df.groupBy().agg(F.count(F.lit(1)).alias("_n"))
-        df = n.where("_n > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias(POSITION))
-        return Rel(df, Val(F.col(POSITION), T.LongType()), [(POSITION, True)], True)
+        """0 to n - 1: the rows are counted, then made where they are needed."""
+        return Rel(rel.df.sparkSession.range(rel.df.count()), Val(F.col("id"), T.LongType()), [("id", True)], True)
 
     def rel_has(self, rel: Rel, k: A.Node) -> Scalar:
         i = self._constant(k, "has")
@@ -457,7 +532,7 @@ class Relations:
                 return None
             return replace(g, having=[*g.having, right.arg])
         if right.name == "length" and not g.having:
-            df, c = self._with(g.rel, "key", g.key)
+            df, c = self._with(g.rel, "key", Val(self.columns._key(g.key), g.key.type))
             return self.rel_length(Rel(df.select(c).distinct(), Val(F.col(c), g.key.type)))
         if right.name != "map":
             return None
@@ -470,13 +545,20 @@ class Relations:
         values = body.fields if body.fields is not None else {"value": body}
         aggs = [v.column().alias(names[k]) for k, v in values.items()]
         aggs += [F.coalesce(t.col, F.lit(False)).alias(f"_h{i}") if kind(t.type) == "boolean" else F.lit(False).alias(f"_h{i}") for i, t in enumerate(tests)]
-        aggs += [F.min(c if up else -F.col(c)).alias(c) for c, up in g.rel.order[-1:]]
+        aggs, order = self._ordered(g.rel, aggs)
         df = g.rel.df.withColumn("_gkey", self.columns._key(g.key)).groupBy("_gkey").agg(*aggs)
         for i in range(len(tests)):
             df = df.where(f"_h{i}")
         out = {k: Val(F.col(n), values[k].type) for k, n in names.items()}
         elem = Val(None, body.type, out) if body.fields is not None else out["value"]
-        return Rel(df, elem, [(c, True) for c, _ in g.rel.order[-1:]], bool(g.rel.order))
+        return Rel(df, elem, order, bool(order))
+
+    def _ordered(self, rel: Rel, aggs: list[Column]) -> tuple[list[Column], list[tuple[str, bool]]]:
+        """Groups come in the order of their first element."""
+        if not rel.order:
+            return aggs, []
+        place = _fresh("place")
+        return [*aggs, F.min(rel.place()).alias(place)], [(place, True)]
 
     def _body(self, g: Groups, node: A.Node) -> Val:
         """The body of a map over groups, as one expression over aggregates."""
@@ -514,8 +596,7 @@ class Relations:
                 case A.Text(parts):
                     return Val(F.concat(*(F.lit(p) if isinstance(p, str) else S.rendered(value(p)) for p in parts)), T.StringType())
                 case A.Object(entries):
-                    fields = {k: value(v) for k, v in entries}
-                    return Val(None, T.StructType([T.StructField(k, v.type) for k, v in fields.items()]), fields)
+                    return _named({k: value(v) for k, v in entries})
             raise _Unfit
 
         def step(left, name: str, arg: A.Node | None):
@@ -534,18 +615,34 @@ class Relations:
         return value(node)
 
     def collected(self, g: Groups) -> Rel:
-        """Groups with their values: for bodies that need each element."""
-        rel = g.rel
-        place = F.struct(*(F.col(c) if up else -F.col(c) for c, up in rel.order[-1:]), rel.elem.column().alias("e")) if rel.order else F.struct(rel.elem.column().alias("e"))
-        got = F.collect_list(place)
-        if rel.order:
-            c = rel.order[-1][0]
-            got = F.array_sort(got, lambda a, b: F.when(a[c] < b[c], -1).when(a[c] > b[c], 1).otherwise(0))
-        aggs = [F.first(F.struct(g.key.column().alias("k")))["k"].alias("_gfirst"), F.transform(got, lambda s: s["e"]).alias("_gvalues")]
-        aggs += [F.min(F.col(c) if up else -F.col(c)).alias(c) for c, up in rel.order[-1:]]
-        df = rel.df.withColumn("_gkey", self.columns._key(g.key)).groupBy("_gkey").agg(*aggs)
-        fields = {"key": Val(F.col("_gfirst"), g.key.type), "values": Val(F.col("_gvalues"), T.ArrayType(rel.elem.type))}
-        out = Rel(df, Val(None, T.StructType([T.StructField(k, v.type) for k, v in fields.items()]), fields), [(c, True) for c, _ in rel.order[-1:]], bool(rel.order))
+        """Groups with their values, in order: for bodies that need each element. The largest group is counted first."""
+        rel, key = g.rel, _fresh("gkey")
+        df = rel.df.withColumn(key, self.columns._key(g.key))
+        largest = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if largest > LIST_ROWS:
+            raise QueryError(f"group_by: a group of {largest} rows can't be one value (at most {LIST_ROWS}); aggregate its values")
+        first, values = _fresh("first"), _fresh("values")
+        aggs, order = self._ordered(rel, [F.first(F.struct(g.key.column().alias("k")))["k"].alias(first), _gathered(rel).alias(values)])
+        out = Rel(df.groupBy(key).agg(*aggs), _named({"key": Val(F.col(first), g.key.type), "values": Val(F.col(values), T.ArrayType(rel.elem.type))}), order, bool(order))
         for p in g.having:
             out = self.rel_filter(out, p)
         return out
+
+
+def _gathered(rel: Rel) -> Column:
+    """The elements as one array, in order."""
+    if not rel.order:
+        return F.collect_list(F.struct(rel.elem.column().alias("e")))["e"]
+    rows = F.collect_list(F.struct(rel.place().alias("p"), rel.elem.column().alias("e")))
+    return F.array_sort(rows, lambda a, b: F.when(a["p"] < b["p"], -1).when(b["p"] < a["p"], 1).otherwise(0))["e"]
+
+
+def checkpoints(spark) -> None:
+    """The folder that the session names for checkpoints; only a local session without one gets its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return
+    found = sc.getConf().get("spark.checkpoint.dir")
+    if not found and not sc.master.startswith("local"):
+        raise QueryError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="docsieve-"))

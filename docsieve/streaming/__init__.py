@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..errors import QueryError
-from ..operators.relation import Relations, row_of
+from ..operators.relation import Relations, table
 from ..plans import ast as A
 from ..plans.grammar import parse
 
@@ -29,6 +29,4 @@ def query_stream(text: str, df: DataFrame, strict: bool = True) -> DataFrame:
     if not _stateless(node):
         raise QueryError("a stream takes filter and map only")
     relations = Relations(strict)
-    from ..operators.relation import Rel
-
-    return relations.finish(relations.compile(node, Rel(df, row_of(df))))
+    return relations.finish(relations.compile(node, table(df)))

@@ -142,3 +142,57 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["l_orderkey", "l_linenumber", "l_quantity"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+ORDERED = [
+    ". | sort_by(-.age) | unique_by(.dept) | map(.name)", ". | sort_by(.name) | reverse | unique_by(.age) | map(.name)", ". | sort_by(-.age) | group_by(.dept) | map({k: .key, names: .values | map(.name)})",
+    ". | sort_by(.name) | reverse | group_by(.dept) | map({k: .key, n: .values | length})", ". | sort_by(.name) | reverse | sort_by(.age) | map(.name)", ". | sort_by(.score) | reverse | group_by(.age > 30) | reverse | map(.key)",
+    ". | sort_by(.name) | reverse | group_by(.age) | sort_by(.values | length) | map(.key)", ". | sort_by(.name) | reverse | group_by(.dept) | reverse | unique_by(.values | length) | map(.key)",
+]
+
+
+@pytest.mark.parametrize("text", ORDERED)
+def test_order_is_kept(people, text):
+    got = [plain(r[0] if len(r) == 1 else r) for r in query(text, people).collect()]
+    assert got == run(parse(text).node, PEOPLE)
+
+
+def test_list_inside_object(people, monkeypatch):
+    from docsieve.operators import relation
+
+    for text in ("{a: . | sort_by(.age) | reverse | map(.name), n: . | length}", "{a: . | map(.name), b: . | sort_by(.name) | reverse | map(.age)}", "{g: . | sort_by(-.score) | group_by(.dept) | map({k: .key, v: .values | map(.name)})}"):
+        assert plain(query(text, people).first()) == run(parse(text).node, PEOPLE)
+    monkeypatch.setattr(relation, "LIST_ROWS", 3)
+    with pytest.raises(Exception, match="over 3 rows"):
+        query("{a: . | map(.name)}", people).collect()
+    with pytest.raises(QueryError, match="group of 5 rows"):
+        query(". | group_by(.age > 0) | map(.values | map(.name))", people).collect()
+
+
+def test_far_slices(spark, monkeypatch):
+    from docsieve.operators import relation
+
+    df = spark.range(0, 3000, 1, 7).selectExpr("(id * 7919) % 3000 as x", "id")
+    rows = [r.asDict() for r in df.collect()]
+    monkeypatch.setattr(relation, "TOP_ROWS", 10)
+    for text in ("(. | sort_by(.x))[2000:] | map(.x)", "(. | sort_by(.x))[700:703] | map(.x)", ".[2990:] | map(.id)", "(. | sort_by(.x) | reverse)[-5:] | map(.x)", "(. | sort_by(.x))[4000:] | map(.x)", "(. | filter(.x < 0))[1:] | map(.x)"):
+        out = query(text, df)
+        assert [r[0] for r in out.collect()] == run(parse(text).node, rows)
+    assert "SinglePartition" not in plan(query("(. | sort_by(.x))[2000:] | map(.x)", df))
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(2, "a", 1, {"k": 1}), (1, "a", 5, {"k": 1}), (3, "b", 4, None)], "_pos bigint, _gkey string, _position bigint, `_e` map<string,bigint>")
+    assert query(".", df).columns == df.columns
+    assert [r[0] for r in query(". | reverse | map(._pos)", df.coalesce(1)).collect()] == [3, 1, 2]
+    assert sorted(tuple(r) for r in query(". | group_by(._gkey) | map({k: .key, n: .values | map(._position) | sum})", df).collect()) == [("a", 6), ("b", 4)]
+    assert query(". | group_by(._e) | length", df).first()[0] == 2
+    out = compile(".a").documents(spark.createDataFrame([('{"a": 1}', "old", 5)], "text string, value string, error bigint"), "text")
+    assert out.columns == ["text", "value", "error"] and out.first()["value"] == "1"
+
+
+def test_lists_in_n_log_n(spark):
+    data = {"x": [{"k": k % 5000, "v": k} for k in range(30_000)], "e": [{"key": f"n{k % 7000}", "value": k} for k in range(20_000)]}
+    df = spark.createDataFrame([(data["x"], data["e"])], "x array<struct<k:bigint,v:bigint>>, e array<struct<key:string,value:bigint>>")
+    for text in (".x | group_by(.k) | map({k: .key, n: .values | map(.v) | sum})", ".x | unique_by(.k) | map(.v)", ".e | from_entries", ".x | map({k: .k}) | unique"):
+        assert plain(compile(text).each(df, name="out").first()["out"]) == run(parse(text).node, data)
