@@ -6,8 +6,10 @@ import csv
 import datetime
 import io
 import json
+import re
 import tomllib
 import xml.etree.ElementTree as ET
+from functools import cache
 
 from ..errors import QueryError
 from .hcl import parse_hcl
@@ -27,7 +29,7 @@ def detect(path: str) -> str | None:
 
 
 def sniff(text: str) -> str:
-    """A guess from the content; the first rule that fits."""
+    """A guess from the content; the first rule that fits. The rules and their order are fixed values."""
     t = text.lstrip()
     rules = (
         ("json", t[:1] in ("{", "[") and t != ""),
@@ -53,14 +55,42 @@ def plain(v):
     return v
 
 
+#: Fixed patterns of YAML 1.2's core schema: a plain scalar's kind, and the characters that it can begin with.
+CORE = (
+    ("null", r"~|null|Null|NULL|", "~nN\0"),
+    ("bool", r"true|True|TRUE|false|False|FALSE", "tTfF"),
+    ("int", r"[-+]?[0-9]+|0o[0-7]+|0x[0-9a-fA-F]+", "-+0123456789"),
+    ("float", r"[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?|[-+]?\.(?:inf|Inf|INF)|\.(?:nan|NaN|NAN)", "-+.0123456789"),
+)
+
+
+@cache
+def core_loader():
+    """A YAML loader that reads plain scalars by version 1.2, where ``no``, ``012`` and dates aren't special."""
+    import yaml
+
+    class Loader(yaml.SafeLoader):
+        yaml_implicit_resolvers: dict = {}
+
+    def whole(loader, node) -> int:
+        text = loader.construct_scalar(node)
+        return int(text, 8 if text.startswith("0o") else 16) if text[:2] in ("0o", "0x") else int(text)
+
+    for kind, pattern, first in CORE:
+        Loader.add_implicit_resolver(f"tag:yaml.org,2002:{kind}", re.compile(f"(?:{pattern})\\Z"), ["" if c == "\0" else c for c in first])
+    Loader.add_constructor("tag:yaml.org,2002:int", whole)
+    Loader.add_constructor("tag:yaml.org,2002:float", lambda loader, node: float(loader.construct_scalar(node).lower().replace(".inf", "inf").replace(".nan", "nan")))
+    return Loader
+
+
 def parse_yaml(text: str):
     try:
         import yaml
     except ImportError as e:
         raise QueryError("YAML needs the yaml package") from e
     try:
-        return plain(yaml.safe_load(text))
-    except yaml.YAMLError as e:
+        return plain(yaml.load(text, core_loader()))  # noqa: S506  a safe loader
+    except (yaml.YAMLError, ValueError) as e:
         raise QueryError(f"YAML parse error: {e}") from e
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from contextvars import ContextVar
 
 _RULE = re.compile(r" {0,3}([-*_])[ \t]*(?:\1[ \t]*){2,}\Z")
 _HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*\Z")
@@ -16,10 +17,42 @@ _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LINK = re.compile(r"""\(\s*(?:<([^>\n]*)>|([^\s()]*(?:\([^\s()]*\)[^\s()]*)*))(?:\s+(?:"([^"]*)"|'([^']*)'|\(([^)]*)\)))?\s*\)""")
 _AUTO = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.+-]+@[\w-]+(?:\.[\w-]+)+)>")
 _TAG = re.compile(r"<(?:/?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?/?|!--.*?--|\?.*?\?)>", re.S)
+_DEFINITION = re.compile(r""" {0,3}\[((?:\\.|[^\[\]\\])+)\]: *(?:<([^<>]*)>|([^\s<]\S*))(?: +(?:"([^"]*)"|'([^']*)'|\(([^()]*)\)))? *""")
+_references: ContextVar[dict[str, tuple[str, str | None]]] = ContextVar("references", default={})
 
 
 def parse_markdown(text: str) -> dict:
-    return {"type": "document", "children": blocks(text.expandtabs(4).splitlines())}
+    lines, found = _definitions(text.expandtabs(4).splitlines())
+    before = _references.set(found)
+    try:
+        return {"type": "document", "children": blocks(lines)}
+    finally:
+        _references.reset(before)
+
+
+def _label(text: str) -> str:
+    return " ".join(text.split()).casefold()
+
+
+def _definitions(lines: list[str]) -> tuple[list[str], dict[str, tuple[str, str | None]]]:
+    """Lines without link definitions, and these by label; the first of a label counts. Fenced code and
+    lines that continue a paragraph hold none."""
+    kept: list[str] = []
+    found: dict[str, tuple[str, str | None]] = {}
+    fence, free = None, True
+    for line in lines:
+        m = _FENCE.match(line)
+        if fence is None and m:
+            fence = m[1]
+        elif fence is not None and re.fullmatch(rf" {{0,3}}{re.escape(fence[0])}{{{len(fence)},}} *", line):
+            fence = None
+        elif fence is None and free and (d := _DEFINITION.fullmatch(line)) and _label(d[1]):
+            title = next((t for t in d.groups()[3:] if t is not None), None)
+            found.setdefault(_label(d[1]), (html.unescape(d[2] if d[2] is not None else d[3]), title))
+            continue
+        free = not line.strip() or bool(_HEADING.match(line) or _RULE.match(line))
+        kept.append(line)
+    return kept, found
 
 
 def _starts(line: str) -> bool:
@@ -179,6 +212,15 @@ def inlines(text: str) -> list[dict]:
             else:
                 nodes.append({"type": "link", "href": href, **extra, "children": inlines(inner)})
             i = m.end()
+        elif (c == "[" or text.startswith("![", i)) and (known := _referenced(text, i + (c == "!"))):
+            inner, (href, title), i_after = known
+            flush()
+            extra = {"title": title} if title is not None else {}
+            if c == "!":
+                nodes.append({"type": "image", "src": href, "alt": "".join(_plain(inlines(inner))), **extra})
+            else:
+                nodes.append({"type": "link", "href": href, **extra, "children": inlines(inner)})
+            i = i_after
         elif c in "*_":
             flush()
             signs = re.match(re.escape(c) + "+", text[i:])[0]
@@ -196,7 +238,8 @@ def inlines(text: str) -> list[dict]:
     return _emphasised(nodes)
 
 
-def _bracketed(text: str, at: int):
+def _closing(text: str, at: int) -> int:
+    """Where the bracket at ``at`` is closed, or -1."""
     depth, k = 0, at
     while k < len(text):
         if text[k] == "\\":
@@ -206,10 +249,28 @@ def _bracketed(text: str, at: int):
         elif text[k] == "]":
             depth -= 1
             if not depth:
-                m = _LINK.match(text, k + 1)
-                return (text[at + 1 : k], m) if m else None
+                return k
         k += 1
-    return None
+    return -1
+
+
+def _bracketed(text: str, at: int):
+    k = _closing(text, at)
+    m = _LINK.match(text, k + 1) if k >= 0 else None
+    return (text[at + 1 : k], m) if m else None
+
+
+def _referenced(text: str, at: int):
+    """A link by its label: [text][label], [label][] or [label]."""
+    k = _closing(text, at)
+    if k < 0 or not _references.get():
+        return None
+    inner, end = text[at + 1 : k], k + 1
+    label = inner
+    if text.startswith("[", end) and (stop := _closing(text, end)) >= 0:
+        label, end = text[end + 1 : stop] or inner, stop + 1
+    known = _references.get().get(_label(label))
+    return (inner, known, end) if known else None
 
 
 def _emphasised(nodes: list) -> list[dict]:

@@ -11,6 +11,7 @@ import xml.etree.ElementTree as ET
 
 from ..errors import QueryError
 from ..functions.values import is_number, kind, text
+from . import formats
 
 OUTPUTS = ("json", "yaml", "toml", "xml", "csv", "tsv", "hcl")
 
@@ -25,7 +26,12 @@ def to_json(v, pretty: bool = True) -> str:
 def to_yaml(v) -> str:
     import yaml
 
-    return yaml.safe_dump(v, sort_keys=False, allow_unicode=True, default_flow_style=False)
+    class Dumper(yaml.SafeDumper):  # quotes what either version of YAML would read as something else
+        yaml_implicit_resolvers = {k: list(x) for k, x in yaml.SafeDumper.yaml_implicit_resolvers.items()}
+
+    for tag, pattern, first in formats.CORE:
+        Dumper.add_implicit_resolver(f"tag:yaml.org,2002:{tag}", re.compile(f"(?:{pattern})\\Z"), ["" if c == "\0" else c for c in first])
+    return yaml.dump(v, Dumper=Dumper, sort_keys=False, allow_unicode=True, default_flow_style=False)
 
 
 def _key(k: str) -> str:
@@ -50,7 +56,7 @@ def _toml_value(v) -> str:
 
 def to_toml(v, path: tuple[str, ...] = ()) -> str:
     if not isinstance(v, dict):
-        raise QueryError(f"TOML output requires a map at the root level, got {kind(v)}")
+        raise QueryError(f"a TOML document is a map; the result is {kind(v)}")
     tables = {k: x for k, x in v.items() if isinstance(x, dict)}
     lists = {k: x for k, x in v.items() if isinstance(x, list) and x and all(isinstance(y, dict) for y in x)}
     out = [f"{_key(k)} = {_toml_value(x)}\n" for k, x in v.items() if x is not None and k not in tables and k not in lists]
@@ -95,7 +101,7 @@ def to_xml(v) -> str:
 
 def to_delimited(v, delimiter: str) -> str:
     if not isinstance(v, list):
-        raise QueryError(f"CSV/TSV output requires a list, got {kind(v)}")
+        raise QueryError(f"rows of CSV or TSV come from a list; the result is {kind(v)}")
     if not v:
         return ""
     out = io.StringIO()
@@ -122,7 +128,7 @@ def _hcl_value(v, pad: str) -> str:
 
 def to_hcl(v, pad: str = "") -> str:
     if not isinstance(v, dict):
-        raise QueryError(f"HCL output requires a map at the root level, got {kind(v)}")
+        raise QueryError(f"an HCL document is a map; the result is {kind(v)}")
     out = []
     for k, x in v.items():
         blocks = [x] if isinstance(x, dict) else x if isinstance(x, list) and x and all(isinstance(y, dict) for y in x) else None

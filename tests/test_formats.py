@@ -130,3 +130,20 @@ def test_session_joins_lines():
             raise EOFError from None
 
     assert session([{"a": 1}], arguments().parse_args(["-t", "csv"]), read, shown.append) == 0 and shown == ["1"]
+
+
+def test_yaml_core_schema():
+    text = "a: no\nb: on\nc: 012\nd: 0o14\ne: 0x1F\nf: 2020-01-02\ng: True\nh: 1e3\ni: .5\nj: -.inf\nk: ~\nl:\nm: 1_000\nn: 12:30:45\no: '1'\n"
+    assert parse(text, "yaml") == {
+        "a": "no", "b": "on", "c": 12, "d": 12, "e": 31, "f": "2020-01-02", "g": True, "h": 1000.0, "i": 0.5, "j": float("-inf"), "k": None, "l": None, "m": "1_000", "n": "12:30:45", "o": "1",
+    }
+    odd = {"a": "no", "b": "0o14", "c": "1e3", "d": "null", "e": "", "f": "~", "g": "012", "h": ".5"}
+    assert parse(format_output(odd, "yaml"), "yaml") == odd
+
+
+def test_markdown_references():
+    doc = parse("see [the text][A  b], [a B][] and [c]; ![pic][c] not [d]\n\n[a b]: <http://x/y> \"T\"\n[C]: /z\n[c]: /other\n\n```\n[d]: /no\n```\n", "markdown")
+    para = doc["children"][0]["children"]
+    assert [(n["href"], n.get("title")) for n in para if n["type"] == "link"] == [("http://x/y", "T"), ("http://x/y", "T"), ("/z", None)]
+    assert [n for n in para if n["type"] == "image"] == [{"type": "image", "src": "/z", "alt": "pic"}] and para[-1]["text"] == " not [d]"
+    assert [c["type"] for c in doc["children"]] == ["paragraph", "code_block"] and doc["children"][1]["code"] == "[d]: /no\n"

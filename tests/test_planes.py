@@ -115,8 +115,13 @@ def test_sources(spark, tmp_path):
         assert sorted(str(r["x"]) for r in back.collect()) == ["1", "2"]
     (tmp_path / "c.toml").write_text("[a]\nb = 3\n")
     assert json.loads(compile(".a.b").documents(S.documents(spark, f"{tmp_path}/c.toml"), "text", "toml").first()["value"]) == 3
-    with pytest.raises(QueryError):
-        S.read(spark, "x.toml")
+    assert S.read(spark, f"{tmp_path}/c.toml", schema="a struct<b:bigint>").first()["a"]["b"] == 3
+    (tmp_path / "d.csv").write_text("x;y\n1;a,b\n2;c\n")
+    assert [tuple(r) for r in S.read(spark, f"{tmp_path}/d.csv").collect()] == [("1", "a,b"), ("2", "c")]
+    (tmp_path / "e.yaml").write_text("- {x: no, y: 012}\n- {x: z, y: 7}\n")
+    assert [tuple(r) for r in S.read(spark, f"{tmp_path}/e.yaml", schema="x string, y bigint").collect()] == [("no", 12), ("z", 7)]
+    (tmp_path / "f.md").write_text("# T\n\n- a\n")
+    assert compile(".value.type").each(S.read(spark, f"{tmp_path}/f.md"), name="t").selectExpr("cast(t as string)").first()[0] == "document"
 
 
 def test_assert_and_schema(people):
