@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import api
+from . import api, surfaces
 
 
 @dataclass(frozen=True)
@@ -66,6 +66,13 @@ ENTRIES = {
     "unique": Entry("orders", ". | map(.o_orderstatus) | unique", "SELECT DISTINCT o_orderstatus AS v FROM orders", None, "v"),
     "unique_count": Entry("lineitem", ". | map(.l_partkey) | unique | length", "SELECT count(DISTINCT l_partkey) AS v FROM lineitem", None, "v"),
     "unique_by": Entry("customer", ". | sort_by(.c_custkey) | unique_by(.c_mktsegment) | map({c_custkey, c_mktsegment})", "SELECT min(c_custkey) AS c_custkey, c_mktsegment FROM customer GROUP BY 2"),
+    "unique_by_sorted_desc": Entry("customer", ". | sort_by(-.c_custkey) | unique_by(.c_mktsegment) | map({c_custkey, c_mktsegment})", "SELECT max(c_custkey) AS c_custkey, c_mktsegment FROM customer GROUP BY 2"),
+    "unique_by_sorted_text": Entry("customer", ". | sort_by(.c_name) | reverse | sort_by(.c_nationkey) | unique_by(.c_mktsegment) | map({c_custkey, c_mktsegment})", "SELECT arg_max(c_custkey, c_name) AS c_custkey, c_mktsegment FROM customer c WHERE c_nationkey = (SELECT min(c_nationkey) FROM customer d WHERE d.c_mktsegment = c.c_mktsegment) GROUP BY 2"),
+    "group_by_sorted_desc": Entry("customer", ". | sort_by(-.c_custkey) | group_by(.c_nationkey) | map({k: .key, first: .values[0].c_custkey, last: .values[-1].c_custkey})", "SELECT c_nationkey AS k, max(c_custkey) AS first, min(c_custkey) AS last FROM customer GROUP BY 1"),
+    "group_order": Entry("customer", "(. | sort_by(-.c_custkey) | group_by(.c_nationkey) | map(.key))[:5]", "SELECT c_nationkey AS v FROM customer GROUP BY 1 ORDER BY max(c_custkey) DESC LIMIT 5", None, "v"),
+    "object_with_reversed_list": Entry("nation", '{a: "\\(. | sort_by(.n_nationkey) | reverse | map(.n_nationkey))", n: . | length}', "SELECT '[' || string_agg(CAST(n_nationkey AS VARCHAR), ', ' ORDER BY n_nationkey DESC) || ']' AS a, count(*) AS n FROM nation"),
+    "group_by_map_key": Entry("events", ". | group_by(.props) | length", "SELECT count(DISTINCT CAST(json_extract(props, '$.k') AS BIGINT)) AS v FROM events", _props, "v"),
+    "slice_open_end": Entry("orders", "(. | sort_by(.o_orderkey))[25:] | map({o_orderkey})", "SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 25"),
     "flatten": Entry("embeddings", ". | map(.embedding[0:3]) | flatten | map({x: .})", "SELECT unnest(list_slice(CAST(embedding AS DOUBLE[]), 1, 3)) AS x FROM embeddings", _lists),
     "first_last": Entry("supplier", "{a: . | sort_by(.s_suppkey) | first, b: . | sort_by(.s_suppkey) | last} | {a: .a.s_name, b: .b.s_name}", "SELECT (SELECT s_name FROM supplier ORDER BY s_suppkey LIMIT 1) AS a, (SELECT s_name FROM supplier ORDER BY s_suppkey DESC LIMIT 1) AS b"),
     "multi_aggregate": Entry("orders", "{n: . | length, low: . | map(.o_totalprice) | min, high: . | map(.o_totalprice) | max, keys: . | map(.o_custkey) | sum, open: . | filter(.o_orderstatus == \"O\") | length}", "SELECT count(*) AS n, min(o_totalprice) AS low, max(o_totalprice) AS high, CAST(sum(o_custkey) AS BIGINT) AS keys, count(*) FILTER (WHERE o_orderstatus = 'O') AS open FROM orders"),
@@ -86,8 +93,8 @@ ENTRIES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(ENTRIES)
+    return ENTRIES | surfaces.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: e.sql for k, e in ENTRIES.items()}
+    return {k: e.sql for k, e in ENTRIES.items()} | surfaces.oracle_sql()

@@ -44,7 +44,7 @@ def query_documents(node: Node, df: DataFrame, column: str, fmt: str | None = No
             found = [one(t) for t in b.column("value").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array([f[k] for f in found], pa.string()) for k in (0, 1))], names=[*kept, "value", "error"])
 
-    return given.mapInArrow(each, T.StructType([*given.schema.fields, T.StructField("error", T.StringType())]))
+    return given.mapInArrow(each, T.StructType([*given.schema.fields[:-1], T.StructField("value", T.StringType()), T.StructField("error", T.StringType())]))
 
 
 def render(df: DataFrame, fmt: str, name: str = "text") -> DataFrame:

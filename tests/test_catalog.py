@@ -1,9 +1,11 @@
 import oracle
 import pytest
 
-from docsieve.catalog import ENTRIES
+from docsieve import catalog
 
+SQL = catalog.oracle_sql()
 
-@pytest.mark.parametrize("name", ENTRIES)
+
+@pytest.mark.parametrize("name", catalog.queries())
 def test_same_as_sql(spark, name):
-    oracle.compare(ENTRIES[name](spark, oracle.DATA), ENTRIES[name].sql)
+    oracle.compare(catalog.queries()[name](spark, oracle.DATA), SQL[name])
