@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import PART, Scratch, hot_keys, split_join
+
+#: Rounds after which something must be wrong: their number grows with the logarithm of the longest path.
+ROUNDS = 64
 
 
 def connected(out: Scratch, edges: DataFrame, name: str) -> DataFrame:
@@ -16,11 +19,12 @@ def connected(out: Scratch, edges: DataFrame, name: str) -> DataFrame:
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     now = out.table(now, f"{name}-0")
     state = _state(now)
-    for k in range(1, 64):
+    for k in range(1, ROUNDS):
         # large star: the larger neighbours of u go to the smallest of u and its neighbours
         both = now.union(now.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        hubs = hot_keys(both.groupBy("u").agg(F.count("*").alias("n")), "u") if 2 * state[0] > PART else None
+        large = split_join(both.where("v > u"), least, ["u"], hubs, "v").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: u and its smaller neighbours go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -29,6 +33,8 @@ def connected(out: Scratch, edges: DataFrame, name: str) -> DataFrame:
         now, before, state = after, state, _state(after)
         if state == before:
             break
+    else:
+        raise RuntimeError(f"components aren't found after {ROUNDS} rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp")).union(now.select("v", "v").distinct())
 
 

@@ -9,30 +9,38 @@ the item with its region gives the edits. A document is contaminated if some
 item aligns within its budget of k = ``RATE`` n edits (less for short items, so that
 the bound stays positive; items under q characters must occur as they are).
 
+Each place of an item is reported: of all parts of a text within the budget those
+with the fewest edits (then the first ones) that don't overlap. A part starts where its
+alignment starts; of starts that need as few edits the last one counts.
+
 Texts and items are compared in lower case with runs of white space as one
 space; spans count code points of that form. q-grams that are in many items
 don't count for an item that has enough others, with its bound lowered
 accordingly, so no occurrence is lost.
 
-The items are the stated query set, held against all documents in blocks of at
-most ``BLOCK`` characters, each of which is sent to the executors; documents are
-read where they lie, whole and without a shuffle. A null or empty text is clean.
-Null and empty items match nothing. Rows are judged one by one, whatever their
-doc_id.
+The items are the stated query set, held against all documents in one scan
+without a shuffle. Their index comes in blocks of at most ``BLOCK`` characters, each a
+broadcast of its own; where there are more blocks, a task takes ``CHUNK`` bytes of
+documents at a time through all of them and holds one block in memory. A null or
+empty text is clean. Null and empty items match nothing. Rows are judged one by
+one, whatever their doc_id, and dropped or kept where they lie.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_checked, ready
+from .common import ready
 
 Q, RATE, BLOCK = 8, 0.1, 4_000_000
+#: Bytes of documents that are held against one block after the other.
+CHUNK = 32 << 20
 #: q-grams in more places than this don't count for items that have enough others.
 COMMON = 8
 _BITS = 22
@@ -129,69 +137,61 @@ class Index:
         return found
 
     def occurrences(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item id, start, end, edits) of each item that occurs, its best place."""
-        out = [(i, a, a + len(t), 0) for i, t in self.short if (a := text.find(t)) >= 0]
-        best: dict[int, tuple[int, int, int]] = {}
+        """(item id, start, end, edits) of each place of an item."""
+        out = [(i, a, a + len(t), 0) for i, t in self.short for a in _places(text, t)]
+        ends: dict[int, dict[int, tuple[int, int]]] = {}  # by item and end: edits, -start
         x = codes(text)
         for item, band in self.regions(grams(x)):
             n, k = int(self.size[item]), int(self.edits[item])
             w = k + 1
             low = max(0, band * w - n - k)
             high = min(len(text), (band + 2) * w - n + n + k)
-            if item in best and best[item][2] == 0:
-                continue
+            of = ends.setdefault(item, {})
             exact = text.find(self.texts[item], low, high)
-            if exact >= 0:
-                best[item] = (exact, exact + n, 0)
+            if exact >= 0:  # all else in the region overlaps it
+                of[exact + n] = (0, -exact)
                 continue
-            edits, end = aligned(codes(self.texts[item]), x[low:high], 2 * w + 2 * k)
-            if edits <= k and (item not in best or edits < best[item][2]):
-                best[item] = (max(low, low + end - n), low + end, edits)
-        return sorted(out + [(self.ids[i], *v) for i, v in best.items()])
+            for end, edits, start in aligned(codes(self.texts[item]), x[low:high], 2 * w + 2 * k, k):
+                of[low + end] = min(of.get(low + end, (k + 1, 0)), (edits, -(low + start)))
+        return sorted(out + [(self.ids[i], *v) for i, of in ends.items() for v in apart(of)])
 
 
-def aligned(item: np.ndarray, region: np.ndarray, width: int) -> tuple[int, int]:
-    """Least edits between the item and a part of the region, and where that part ends.
+def _places(text: str, part: str) -> Iterator[int]:
+    at = text.find(part)
+    while at >= 0:
+        yield at
+        at = text.find(part, at + len(part))
 
-    Only diagonals 0 to ``width`` are looked at; all of an occurrence within the
-    budget lie there."""
-    n, far = len(item), 1 << 20
-    t = np.concatenate((region.astype(np.int64), np.full(n + width + 2, -1)))
-    o = np.arange(width + 1)
-    now = np.where(o <= len(region), 0, far)  # free start
-    for i in range(n):
-        step = now + (t[i : i + width + 1] != item[i])
-        step[:-1] = np.minimum(step[:-1], now[1:] + 1)
-        step = np.minimum.accumulate(step - o) + o
-        now = np.where(i + 1 + o <= len(region), step, far)
-    k = int(now.argmin())
-    return int(now[k]), n + k
 
+def apart(ends: dict[int, tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """start, end, edits of those with the fewest edits, the first ones first, that don't overlap."""
+    out: list[tuple[int, int, int]] = []
+    for edits, end, start in sorted((e, end, -s) for end, (e, s) in ends.items()):
+        if all(end <= a or b <= start for a, b, _ in out):
+            out.append((start, end, edits))
+    return out
 
-_SCHEMA = "doc_id long, key long, items array<long>, edits array<long>, spans string"
 
+#: What an edit costs; below it, costs tell starts apart, the last one being the least.
+_EDIT, _FAR = 1 << 32, 1 << 60
 
-def _pass(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(Index(items))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
-        for b in batches:
-            found = [index.occurrences(normal(t)) for t in b.column("text").to_pylist()]
-            cols = [
-                b.column("doc_id"), b.column("key"),
-                pa.array([[x[0] for x in f] for f in found], pa.list_(pa.int64())),
-                pa.array([[x[3] for x in f] for f in found], pa.list_(pa.int64())),
-                pa.array([",".join(f"{x[0]}:{x[1]}:{x[2]}" for x in f) for f in found], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "items", "edits", "spans"])
-
-    return _keyed(docs).select("doc_id", "key", "text").mapInArrow(run, _SCHEMA)
+def aligned(item: np.ndarray, region: np.ndarray, width: int, most: int) -> list[tuple[int, int, int]]:
+    """(end, edits, start) for each end of a part of the region that is within ``most`` edits of the item.
 
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("string").alias("text"))
+    Only diagonals 0 to ``width`` are looked at; all of an occurrence within the
+    budget lie there."""
+    n = len(item)
+    t = np.concatenate((region.astype(np.int64), np.full(n + width + 2, -1)))
+    o = np.arange(width + 1)
+    now = np.where(o <= len(region), -o, _FAR)  # any start
+    for i in range(n):
+        step = now + _EDIT * (t[i : i + width + 1] != item[i])
+        step[:-1] = np.minimum(step[:-1], now[1:] + _EDIT)
+        step = np.minimum.accumulate(step - o * _EDIT) + o * _EDIT
+        now = np.where(i + 1 + o <= len(region), step, _FAR)
+    edits = -(-now // _EDIT)
+    return [(n + int(k), int(edits[k]), int(edits[k] * _EDIT - now[k])) for k in np.flatnonzero(edits <= most)]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -205,31 +205,59 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     yield block
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, key, items, edits, spans (item:start:end); a row for each row of ``docs``."""
-    ready(docs.sparkSession)
-    passes = [_pass(docs, block) for block in _blocks(benchmark)]
-    if len(passes) == 1:
-        return passes[0]
-    out = Scratch(docs.sparkSession, "decontam")
-    hits = [out.table(p.where("size(items) > 0"), f"block-{k}") for k, p in enumerate(passes)]
-    every = hits[0]
-    for h in hits[1:]:
-        every = every.unionByName(h)
-    merged = every.dropDuplicates(["key", "spans"]).groupBy("key").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("edits")).alias("edits"), F.array_join(F.collect_list("spans"), ",").alias("spans"))
-    joined = _keyed(docs).drop("text").join(merged, "key", "left")
-    empty = F.array().cast("array<long>")
-    return joined.select("doc_id", "key", F.coalesce("items", empty).alias("items"), F.coalesce("edits", empty).alias("edits"), F.coalesce("spans", F.lit("")).alias("spans"))
+def _found(sent: list, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
+    """Each batch with the places in its texts."""
+    if len(sent) == 1:
+        for b in batches:
+            yield b, [sent[0].value.occurrences(normal(t)) for t in b.column("text").to_pylist()]
+        return
+    held, size = [], 0
+    for b in chain(batches, [None]):
+        if b is not None:
+            held.append(b)
+            size += b.nbytes
+        if held and (b is None or size >= CHUNK):
+            texts = [[normal(t) for t in h.column("text").to_pylist()] for h in held]
+            found = [[[] for _ in t] for t in texts]
+            for block in sent:
+                index = block.value
+                for t, f in zip(texts, found, strict=True):
+                    for k, text in enumerate(t):
+                        f[k] += index.occurrences(text)
+                vars(block).pop("_value", None)  # read again when it is needed: one block in memory
+            yield from zip(held, ([sorted(x) for x in f] for f in found), strict=True)
+            held, size = [], 0
+
+
+def _indexes(benchmark: DataFrame) -> list:
+    sc = benchmark.sparkSession.sparkContext
+    return [sc.broadcast(Index(block)) for block in _blocks(benchmark)]
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, contaminated, n_items, least_edits, spans; a row for each row of ``docs``."""
-    return occurrences(docs, benchmark).select(
-        "doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), F.array_min("edits").alias("least_edits"), "spans"
-    )
+    """doc_id, contaminated, n_items, least_edits, spans (item:start:end, each place); a row for each row of ``docs``."""
+    ready(docs.sparkSession)
+    sent = _indexes(benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, found in _found(sent, batches):
+            cols = [
+                b.column("doc_id"), pa.array([bool(f) for f in found], pa.bool_()), pa.array([len({x[0] for x in f}) for f in found], pa.int64()),
+                pa.array([min((x[3] for x in f), default=None) for f in found], pa.int64()), pa.array([",".join(f"{x[0]}:{x[1]}:{x[2]}" for x in f) for f in found], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "contaminated", "n_items", "least_edits", "spans"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, contaminated boolean, n_items long, least_edits long, spans string")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated rows."""
-    found = Scratch(docs.sparkSession, "leaks").table(occurrences(docs, benchmark).where("size(items) > 0").select("key").distinct(), "keys")
-    return join_checked(docs.withColumn("_d_key", F.xxhash64("doc_id", "text")), found.withColumnRenamed("key", "_d_key"), "_d_key", "left_anti").drop("_d_key")
+    ready(docs.sparkSession)
+    sent = _indexes(benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, found in _found(sent, batches):
+            yield b.filter(pa.array([not f for f in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

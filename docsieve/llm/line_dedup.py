@@ -7,12 +7,18 @@ the number of pages of the site. Lines over ``ratio`` that are on at least
 Lines are counted by (site, 64-bit hash), once a page, with map-side combine, so
 a site with a third of all pages spreads over all tasks. A page with m lines
 can hold at most m / ratio boilerplate lines of its site on average, so what is
-left for a site is small, and is joined to its pages as one array: broadcast
-after counting it, or else by a join that splits large sites.
+left for a site is small, and is joined to its pages as one array: broadcast if
+all arrays together have at most ``BYTES`` bytes, which is measured, or else by a join
+in which the pages of sites with over one in 4096 of all pages are dealt over many tasks.
+
+``RATIO`` is a tenth of the pages: text that is written for one page seldom stands on every tenth.
+``PAGES`` is the least support at which a share says something: a line on two
+pages may be a copied page. From there on the ratio alone decides, on sites of any size.
 
 Pages without a site (null) are no site and stay as they are. A null text stays
 null; an empty one has no lines. Lines without a word are never dropped.
-Repeated rows count as pages of their own.
+Repeated rows count as pages of their own. A row's other columns are held
+together, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -20,46 +26,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_checked
+from .common import Scratch, hot_keys, split_join
+
+RATIO, PAGES = 0.1, 3
+#: Bytes of boilerplate lines' hashes and sites that may be broadcast.
+BYTES = 32 << 20
+
 
-RATIO, PAGES = 0.08, 10
-#: Sites of which the lines may be broadcast (each with tens of lines).
-SITES = 20_000
+def _split(docs: DataFrame, site: str) -> DataFrame:
+    return docs.select(F.struct("*").alias("row"), F.col(site).alias("site"), F.col("text").cast("string").alias("text"))
 
 
-def boilerplate(docs: DataFrame, site: str = "source", ratio: float = RATIO, pages: int = PAGES) -> DataFrame:
-    """_b_site, _b_lines (hashes of its boilerplate lines) for each site that has any."""
-    rows = docs.where(F.col(site).isNotNull())
-    totals = rows.groupBy(F.col(site).alias("_b_site")).agg(F.count("*").alias("_b_total"))
+def boilerplate(docs: DataFrame, site: str = "source", ratio: float = RATIO, pages: int = PAGES) -> tuple[DataFrame, DataFrame | None]:
+    """site, lines (hashes of its boilerplate lines) for each site that has any; and the sites with a large share of all pages."""
+    out = Scratch(docs.sparkSession, "lines")
+    rows = _split(docs, site).where("site is not null")
+    totals = out.table(rows.groupBy("site").agg(F.count("*").alias("n")), "totals")
+    hot = hot_keys(totals, "site")
     lines = F.array_distinct(F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.xxhash64(x)))
-    counts = rows.select(F.col(site).alias("_b_site"), F.explode(lines).alias("_b_line")).groupBy("_b_site", "_b_line").agg(F.count("*").alias("_b_n")).where(F.col("_b_n") >= pages)
-    often = counts.join(totals, "_b_site").where(F.col("_b_n") > ratio * F.col("_b_total"))
-    return often.groupBy("_b_site").agg(F.collect_set("_b_line").alias("_b_lines"))
+    counts = rows.select("site", F.explode(lines).alias("line")).groupBy("site", "line").agg(F.count("*").alias("on")).where(F.col("on") >= pages)
+    often = split_join(counts, totals, ["site"], hot, "line").where(F.col("on") > ratio * F.col("n"))
+    return out.table(often.groupBy("site").agg(F.collect_set("line").alias("lines")), "boilerplate"), hot
 
 
 def drop_lines(docs: DataFrame, site: str = "source", ratio: float = RATIO, pages: int = PAGES) -> DataFrame:
-    """``docs`` with the boilerplate gone from ``text``; columns _b_all and _b_gone count lines before and dropped."""
-    found = Scratch(docs.sparkSession, "lines").table(boilerplate(docs, site, ratio, pages).withColumnRenamed("_b_site", "_b_key"), "boilerplate")
-    joined = join_checked(docs.withColumn("_b_key", F.col(site)), found, "_b_key", "left", SITES).drop("_b_key")
+    """row (of ``docs``), the text without the boilerplate, and n_lines and n_dropped: how many there were and went."""
+    found, hot = boilerplate(docs, site, ratio, pages)
+    size = found.agg(F.sum(8 * F.size("lines") + 64 + F.length(F.col("site").cast("string")))).first()[0] or 0
+    rows = _split(docs, site)
+    if size <= BYTES:
+        joined = rows.join(F.broadcast(found), "site", "left")
+    else:
+        joined = split_join(rows, found.hint("merge"), ["site"], hot, "text", "left")
     lines = F.split("text", "\n")
-    kept = F.when(F.col("_b_lines").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_b_lines", F.xxhash64(x))))
-    joined = joined.withColumn("_b_kept", kept).withColumn("_b_all", F.when(F.length("text") > 0, F.size(lines)).otherwise(0))
-    joined = joined.withColumn("_b_gone", F.when(F.col("_b_lines").isNull() | F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size("_b_kept")))
-    return joined.withColumn("text", F.when(F.col("_b_gone") > 0, F.array_join("_b_kept", "\n")).otherwise(F.col("text"))).drop("_b_kept", "_b_lines")
+    kept = F.when(F.col("lines").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("lines", F.xxhash64(x))))
+    joined = joined.withColumn("kept", kept).withColumn("n_lines", F.when(F.length("text") > 0, F.size(lines)).otherwise(0).cast("long"))
+    joined = joined.withColumn("n_dropped", F.when(F.col("lines").isNull() | F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size("kept")).cast("long"))
+    return joined.select("row", F.when(F.col("n_dropped") > 0, F.array_join("kept", "\n")).otherwise(F.col("text")).alias("text"), "n_lines", "n_dropped")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and the text that is left, for each row."""
-    out = drop_lines(docs.select("doc_id", "source", "text"))
-    return out.select("doc_id", F.col("_b_all").cast("long").alias("n_lines"), F.col("_b_gone").cast("long").alias("n_dropped"), "text")
+    return drop_lines(docs.select("doc_id", "source", "text")).select("row.doc_id", "n_lines", "n_dropped", "text")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``; n_chars, if there, follows the text."""
     out = drop_lines(docs)
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_b_gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        changed["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 #: The same for DuckDB.

@@ -12,18 +12,23 @@ On a cluster the sets meet as follows.
 2. Shingles are ordered by an estimate of their frequency (a sketch of fixed
    size over all documents), rare ones first. Two sets with similarity of 0.8
    or more share one of their first n - ceil(0.8 n) + 1 shingles, so sharing
-   one of these is necessary. A class is a candidate of the smallest class
-   (its leader) at each such shingle; a group is a leader with its candidates.
-   A frequent line or passage comes last in the order and makes no group.
-3. Each candidate is bounded and verified against its leader. Groups whose
-   members are in one component by then are done: no pair in them can add
-   anything. That is where large groups of near copies end, in time linear in
-   their size.
-4. The points of the others go into R-trees, in blocks of bounded size if a group
-   is large, which name the members that have a partner of another component
-   within the bound. The sets of these are sent, their pairs verified on bits,
-   and a link is returned if it joins components. No candidate pair is left
-   out, and what is returned grows with the members, not with their pairs.
+   one of these is necessary. The classes at a shingle are a group, and groups
+   of one smallest class (their leader) are one. A frequent line or passage comes
+   last in the order and makes no group. An R-tree over all classes would have to
+   be on every executor; there is one for each group instead.
+3. Each group's tree is asked for the points that its leader's point may be similar to,
+   and these are verified. Groups whose members are in one component by then are
+   done: no pair in them can add anything. That is where large groups of near
+   copies end, in time linear in their size.
+4. What is left of a group are members outside of its leader's component. Trees
+   over them, and over them and those inside, name the pairs of different components within the
+   bound; these are verified on bits, and a link is returned if it joins
+   components. Blocks bound a tree's size: members inside are dealt to one block
+   each and meet the blocks of those outside only. No candidate pair is left out,
+   and what is returned grows with the members, not with their pairs.
+
+A group that is hot (its leader has more than one in 4096 of all rows) is dealt
+over parts before it is joined with anything.
 
 Nulls and empty texts have no shingles, class or link; each is its own
 component. Rows with one doc_id are handled as rows of their own, each in the
@@ -42,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import Scratch, join_checked, ready, text_buffer
+from .common import Scratch, hot_keys, join_checked, ready, split_join, text_buffer, with_parts
 from .components import connected
 from .kernels import shingle_sets
 
@@ -50,6 +55,8 @@ GROUPS = 128
 SLOTS = 1 << 16
 #: Shingles in a block of a group, on average: bounds a task's memory, whether sets are many or large.
 BLOCK = 400_000
+#: Members in one tree that a leader asks.
+TREE = 4096
 #: Bytes of bits; beyond it, sets are intersected one pair at a time.
 BITS = 1 << 26
 
@@ -139,21 +146,6 @@ def need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (4 * (n + m) + 8) // 9
 
 
-@F.pandas_udf(BooleanType())
-def bound_holds(a, b):
-    """Whether two points allow the overlap that is needed."""
-    import pandas as pd
-
-    out, plain = np.zeros(len(a), bool), [len(p) == len(q) == 4 * GROUPS for p, q in zip(a, b, strict=True)]
-    for k in np.flatnonzero(~np.array(plain, bool)):
-        x, y = same_groups([a.iloc[k], b.iloc[k]])
-        out[k] = np.minimum(x, y).sum() >= need(x.sum(), y.sum())
-    if any(plain):
-        x, y = same_groups(list(a[plain])), same_groups(list(b[plain]))
-        out[plain] = np.minimum(x, y).sum(1) >= need(x.sum(1), y.sum(1))
-    return pd.Series(out)
-
-
 def is_similar(x: np.ndarray, y: np.ndarray) -> bool:
     at = np.searchsorted(y, x)
     both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
@@ -190,6 +182,18 @@ class CountTree:
             cut = np.arange(0, len(hi), self.FAN)
             self.levels.append((np.maximum.reduceat(hi, cut), np.minimum.reduceat(s0, cut), np.maximum.reduceat(s1, cut), np.minimum.reduceat(c0, cut), np.maximum.reduceat(c1, cut)))
 
+    def near(self, point: np.ndarray) -> np.ndarray:
+        """Indices of the points that pass the bound with ``point``, whatever their component."""
+        m, at = int(point.sum()), np.zeros(1, np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            hi, s0, s1, _, _ = self.levels[level]
+            at = at[at < len(hi)]
+            at = at[(5 * s1[at] >= 4 * m) & (5 * m >= 4 * s0[at])]
+            at = at[np.minimum(hi[at], point).sum(1) >= need(s0[at], m)]
+            if level:
+                at = (at[:, None] * self.FAN + np.arange(self.FAN)).ravel()
+        return self.order[at]
+
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Indices of points of different components that pass the bound, each pair once, in pieces."""
         yield from self._walk(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))
@@ -272,21 +276,57 @@ class Unions:
         return x != y
 
 
-def _cell_links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-    """Of one block pair of one group: links enough to join what its links join."""
+def _leaders_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by part of a group, its leader first: the leader with each member that its point may be similar to.
+
+    A tree holds at most TREE members of a part; more of them come in more trees."""
+    part, point, cids, points, found = None, b"", [], [], []
+
+    def asked() -> None:
+        if cids:
+            every = same_groups([point, *points])
+            found.extend((part[0], cids[k]) for k in CountTree(every[1:], np.arange(len(cids))).near(every[0]).tolist())
+            cids.clear()
+            points.clear()
+
+    def out() -> pa.RecordBatch:
+        a, b = zip(*found, strict=True) if found else ((), ())
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for leader, block, is_member, cid, counts in zip(*(batch.column(k).to_pylist() for k in ("leader", "block", "member", "cid", "counts")), strict=True):
+            if not is_member:
+                asked()
+                part, point = (leader, block), counts
+            else:
+                cids.append(cid)
+                points.append(counts)
+                if len(cids) == TREE:
+                    asked()
+        if found:
+            yield out()
+    asked()
+    yield out()
+
+
+def _cell_links(rows: list[tuple]) -> Iterator[tuple[int | None, int | None, int]]:
+    """Of one block pair of one group: links enough to join what its links join, and last how many pairs were verified."""
     cid, block = [r[4] for r in rows], np.array([r[7] for r in rows], np.int64)
     _, comp = np.unique(np.array([r[5] for r in rows], np.int64), return_inverse=True)
     if comp.max() == 0:
         return
     sets = [np.frombuffer(r[6], np.uint64) for r in rows]
-    across, exact, joined = rows[0][2] != rows[0][3], Sets(sets), Unions()
+    across, exact, joined, checked = rows[0][2] != rows[0][3], Sets(sets), Unions(), 0
     for i, j in CountTree(same_groups([counts_of(s) for s in sets]), comp).pairs():
         ok = (comp[i] != comp[j]) & ((block[i] != block[j]) | (not across))
         i, j = i[ok], j[ok]
         ok = exact.similar(i, j)
+        checked += len(i)
         for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
             if joined.join(int(comp[x]), int(comp[y])):
-                yield cid[x], cid[y]
+                yield cid[x], cid[y], 0
+    yield None, None, checked
 
 
 _CELL = ["leader", "band", "i", "j"]
@@ -329,8 +369,7 @@ def _by_cell(work, data: str, names: list[str], types: list[pa.DataType]):
 
 
 def _cells(df: DataFrame) -> DataFrame:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *_CELL).sortWithinPartitions(*_CELL)
+    return df.repartition(*_CELL).sortWithinPartitions(*_CELL)
 
 
 def row_key():
@@ -343,8 +382,11 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     return joined(docs).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """The same with row_key and comp, the component's smallest class, which also tells components of one id apart."""
+def joined(docs: DataFrame, report: dict[str, int] | None = None) -> DataFrame:
+    """The same with row_key and comp, the component's smallest class, which also tells components of one id apart.
+
+    ``report``, if given, is filled with counts: candidates (members asked by their leader), bounded
+    (of these, what the trees let through), verified (pairs compared exactly) and linked."""
     spark = docs.sparkSession
     ready(spark)
     out = Scratch(spark, "ngram")
@@ -356,25 +398,25 @@ def joined(docs: DataFrame) -> DataFrame:
     for slot, n in slots:
         rank[slot] = n
     classes = out.table(rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("counts").alias("counts")), "classes")
+    sizes, points = classes.select("cid", "n"), classes.select("cid", "counts")
 
     prefixes = out.table(texts.select("text").mapInArrow(_prefixes(rank), "sig long, cid long"), "prefixes")
-    leaders = prefixes.groupBy("sig").agg(F.min("cid").alias("leader"), F.max("cid").alias("last")).where("leader < last").select("sig", "leader")
+    leaders = prefixes.groupBy("sig").agg(F.min("cid").alias("leader"), F.max("cid").alias("last"), F.count("*").alias("n")).where("leader < last").select("sig", "leader", "n")
     leaders = out.table(leaders, "leaders")
     out.free()
-    sizes = classes.select("cid", "n")
-    star = prefixes.join(leaders, "sig").where("cid != leader").select("leader", "cid").distinct()
-    star = out.table(star.join(sizes, "cid").join(sizes.toDF("leader", "leader_n"), "leader"), "star")
-    out.drop("prefixes")
+    star = split_join(prefixes, leaders.select("sig", "leader"), ["sig"], hot_keys(leaders.select("sig", "n"), "sig"), "cid")
+    star = out.table(star.where("cid != leader").select("leader", "cid").distinct().join(sizes, "cid"), "members")
+    hot = hot_keys(star.groupBy("leader").agg(F.count("*").alias("n")), "leader")
+    star = out.table(split_join(star, sizes.toDF("leader", "leader_n"), ["leader"], hot, "cid"), "star")
+    out.drop("prefixes", "members")
     out.free()
 
-    points = classes.select("cid", "counts")
-    bounded = (
-        star.where("5 * n >= 4 * leader_n and 5 * leader_n >= 4 * n").select("leader", "cid")  # before the points are sent
-        .join(points, "cid").join(points.toDF("leader", "leader_counts"), "leader")
-        .where(bound_holds("counts", "leader_counts"))
-        .select(F.col("leader").alias("a"), F.col("cid").alias("b"))
-    )
-    bounded = out.table(bounded, "bounded")
+    near_size = star.where("5 * n >= 4 * leader_n and 5 * leader_n >= 4 * n").select("leader", "cid")  # before the points are sent
+    members = with_parts(near_size, "leader", hot).select("leader", F.pmod(F.xxhash64("cid"), F.col("_parts")).cast("int").alias("block"), F.lit(True).alias("member"), "cid")
+    asking = with_parts(near_size.select("leader").distinct(), "leader", hot)
+    asking = asking.select("leader", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("block"), F.lit(False).alias("member"), F.col("leader").alias("cid"))
+    asked = members.unionByName(asking).join(points, "cid").repartition("leader", "block").sortWithinPartitions("leader", "block", "member")
+    bounded = out.table(asked.mapInArrow(_leaders_near, "a long, b long"), "bounded")
     # one leader each first: mostly that joins what the others would join, and no set is sent in vain
     first = bounded.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     near = _verified(out, texts, rows, out.table(first, "one"), "near-one")
@@ -382,25 +424,32 @@ def joined(docs: DataFrame) -> DataFrame:
     apart = _apart(bounded.join(first, ["a", "b"], "left_anti"), comp)
     apart = out.table(apart, "others")
     if apart.take(1):
-        near = out.table(near.unionByName(_verified(out, texts, rows, apart, "near-others")), "near")
-        comp = connected(out, near, "second")
+        others = _verified(out, texts, rows, apart, "near-others")
+        comp = connected(out, _known(comp).unionByName(others), "second")
+        near = near.unionByName(others)
+    if report is not None:
+        report |= {"candidates": near_size.count(), "bounded": bounded.count(), "verified": out.read("one").count() + apart.count(), "linked": near.count()}
 
     # a group's members by size: sets that can be similar are in the same band or in neighbouring ones
     members = star.select("leader", "cid", "n").unionByName(star.select("leader", F.col("leader").alias("cid"), F.col("leader_n").alias("n")).distinct())
+    labels = comp.toDF("cid", "comp")
+    leading = star.select("leader").distinct().join(comp.toDF("leader", "comp"), "leader", "left").select("leader", F.coalesce("comp", "leader").alias("leader_comp"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.26)).cast("int")
-    labelled = (
-        members.join(comp.withColumnRenamed("node", "cid"), "cid", "left")
-        .select("leader", "cid", "n", F.coalesce("comp", "cid").alias("comp"), F.explode(F.array(band, band + 1)).alias("band"))
-    )
-    mixed = labelled.groupBy("leader", "band").agg(F.count("*").alias("size"), F.sum("n").alias("shingles_in"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(F.col("cid") == F.col("leader")).alias("led"))
-    mixed = mixed.where("c0 != c1 and (size > 2 or not led)").select("leader", "band", "shingles_in")
-    blocks = (F.col("shingles_in") / BLOCK).cast("int") + 1
-    spread = (
-        labelled.join(mixed, ["leader", "band"]).join(points, "cid")
-        .withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("leader", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "comp", "counts", "block")
+    labelled = members.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    labelled = split_join(labelled, leading, ["leader"], hot, "cid").select("leader", "cid", "n", "comp", (F.col("comp") == F.col("leader_comp")).alias("inside"), F.explode(F.array(band, band + 1)).alias("band"))
+    labelled = out.table(labelled, "labelled")
+    mixed = labelled.groupBy("leader", "band").agg(
+        F.count("*").alias("size"), F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("n_in"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("n_out"),
+        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(F.col("cid") == F.col("leader")).alias("led"),
     )
+    mixed = mixed.where("c0 != c1 and (size > 2 or not led)")
+    mixed = mixed.select("leader", "band", *((F.col(n) / BLOCK).cast("int").alias(f"b_{n[2:]}") + (F.col(n) > 0).cast("int") for n in ("n_in", "n_out")))
+    mixed = mixed.toDF("leader", "band", "b_in", "b_out")
+    # blocks 0 to b_in - 1 are of members inside, the others of those outside; each block outside meets all
+    spread = split_join(labelled, mixed, ["leader", "band"], hot, "cid").join(points, "cid")
+    spread = spread.withColumn("block", F.when(F.col("inside"), F.pmod(F.xxhash64("cid"), F.greatest("b_in", F.lit(1)))).otherwise(F.col("b_in") + F.pmod(F.xxhash64("cid"), F.greatest("b_out", F.lit(1)))).cast("int"))
+    met = F.when(F.col("inside"), F.sequence("b_in", F.col("b_in") + F.col("b_out") - 1)).otherwise(F.sequence(F.lit(0), F.col("b_in") + F.col("b_out") - 1))
+    spread = spread.withColumn("other", F.explode(met)).select("leader", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "comp", "counts", "block")
     kept = [*_CELL, "cid", "comp", "block"]
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
     cells = _cells(spread).mapInArrow(_by_cell(_promising, "counts", kept, types), "leader long, band int, i int, j int, cid long, comp long, block int")
@@ -408,24 +457,35 @@ def joined(docs: DataFrame) -> DataFrame:
     out.free()
     if cells.take(1):
         full = cells.join(_sets(out, texts, rows, cells.select("cid").distinct(), "cells"), "cid").select(*kept, "shingles")
-        more = out.table(_cells(full).mapInArrow(_by_cell(_cell_links, "shingles", ["a", "b"], [pa.int64()] * 2), "a long, b long"), "more")
+        more = out.table(_cells(full).mapInArrow(_by_cell(_cell_links, "shingles", ["a", "b", "verified"], [pa.int64()] * 3), "a long, b long, verified long"), "more")
         out.drop("cells-sets")
         out.free()
-        if more.take(1):
-            comp = connected(out, near.unionByName(more), "last")
+        links = more.where("a is not null").select("a", "b")
+        if report is not None:
+            pairs = more.agg(F.sum("verified")).first()[0] or 0
+            report |= {"bounded": report["bounded"] + pairs, "verified": report["verified"] + pairs, "linked": report["linked"] + links.count()}
+        if links.take(1):
+            comp = connected(out, _known(comp).unionByName(links), "last")
     named = (
         classes.select("cid", "rep").join(comp.withColumnRenamed("node", "cid"), "cid", "left")
         .select("cid", "rep", F.coalesce("comp", "cid").alias("comp"))
     )
-    names = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    final = named.join(names, "comp").select("cid", "comp", "component_id")
-    return rows.join(final, "cid", "left").select(
+    names = named.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    final = split_join(named.select("comp", "cid"), names.drop("n"), ["comp"], hot_keys(names.select("comp", "n"), "comp"), "cid").select("cid", "comp", "component_id")
+    copies = hot_keys(rows.where("cid is not null").groupBy("cid").agg(F.count("*").alias("n")), "cid")
+    found = split_join(rows.select("cid", "row_key", "doc_id", "n_shingles"), final, ["cid"], copies, "row_key", "left")
+    return found.select(
         "row_key", "comp", "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("cid").alias("class_id")
     )
 
 
+def _known(comp: DataFrame) -> DataFrame:
+    """Links that say the same as components: each node with the smallest."""
+    return comp.where("node != comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
+
+
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs of classes (a, b) that aren't in one component yet."""
+    """Pairs of classes (a, b), a a leader, that aren't in one component yet."""
     for side in ("a", "b"):
         pairs = pairs.join(comp.toDF(side, f"comp_{side}"), side, "left").withColumn(f"comp_{side}", F.coalesce(f"comp_{side}", side))
     return pairs.where("comp_a != comp_b").select("a", "b")
@@ -469,14 +529,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without words stay, as do rows with a null doc_id (nothing names them).
     Rows are told apart by doc_id and text: of rows of one doc_id, those in one component leave one, and
     texts that aren't near copies stay each."""
-    found = joined(docs).where("doc_id is not null and n_shingles > 0").select(F.col("row_key").alias("_j_key"), "doc_id", "comp", "component_id")
+    key = ["doc_id", "row_key"]
+    found = joined(docs).where("doc_id is not null and n_shingles > 0").select(*key, "comp", "component_id")
     found = Scratch(docs.sparkSession, "kept").table(found, "rows")
-    keyed = docs.withColumn("_j_key", row_key())
-    out = join_checked(keyed, found.where("doc_id != component_id").select("_j_key").distinct(), "_j_key", "left_anti")
-    same = found.where("doc_id = component_id").groupBy("comp").agg(F.count("*").alias("n"), F.min("_j_key").alias("least")).where("n > 1")
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"))
+    out = join_checked(keyed, found.where("doc_id != component_id").select(key).distinct(), key, "left_anti")
+    same = found.where("doc_id = component_id").groupBy("comp").agg(F.count("*").alias("n"), F.min("row_key").alias("least")).where("n > 1")
     if not same.take(1):
-        return out.drop("_j_key")
+        return out.select("row.*")
     # of these components the rows with the smallest key stay, once
-    twice = found.where("doc_id = component_id").join(same, "comp").groupBy("_j_key").agg(F.max(F.col("_j_key") == F.col("least")).alias("_j_stays"))
-    once = join_checked(out, twice.where("_j_stays").select("_j_key"), "_j_key", "left_semi").dropDuplicates(["_j_key"])
-    return join_checked(out, twice.select("_j_key"), "_j_key", "left_anti").unionByName(once).drop("_j_key")
+    twice = found.where("doc_id = component_id").join(same, "comp").groupBy(key).agg(F.max(F.col("row_key") == F.col("least")).alias("stays"))
+    once = join_checked(out, twice.where("stays").select(key), key, "left_semi").dropDuplicates(key)
+    return join_checked(out, twice.select(key), key, "left_anti").unionByName(once).select("row.*")

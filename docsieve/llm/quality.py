@@ -9,8 +9,9 @@ counted over all documents with map-side combine.
 
 A null or empty text has no words: ``base_failed`` holds and it isn't kept.
 Rows with a null or repeated doc_id are judged one by one, by their text. Without
-any document, nothing is fitted and the result is empty. Columns of ``docs``
-whose names start with ``_q_`` would clash; no others do.
+any document, nothing is fitted and the result is empty. A row's columns are
+held together, so none of their names can clash, and the filter works on them in
+place: nothing is joined.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_checked
+from .common import Scratch
 
 _SPACE = r"[\x20\x09-\x0D]+"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -33,15 +34,15 @@ def _chars(text: Column, kind: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{kind}]+", "")).cast("long")
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts that the rules use and ``_q_key`` (doc_id and text)."""
+def with_counts(docs: DataFrame, *kept: str) -> DataFrame:
+    """``row`` (the columns ``kept``) and the counts that the rules use."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_q_key"), text.alias("_q_t"))
+    df = docs.select(F.struct(*kept).alias("row"), text.alias("_q_t"))
     df = df.withColumn("_q_w", F.array_remove(F.split("_q_t", _SPACE), ""))
     df = df.withColumn("_q_l", F.filter(F.split("_q_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     n = F.size("_q_w")
     df = df.select(
-        "doc_id", "_q_key",
+        "row",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("_q_w", "")).cast("long").alias("word_chars"),
         _chars(F.col("_q_t"), "#*$%&|<>").alias("n_symbols"),
@@ -153,18 +154,23 @@ def fit(voted: DataFrame) -> dict | None:
     return row["p"].asDict() if row else None
 
 
-def verdicts(docs: DataFrame) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, the counts, base_failed, kept, score, votes, and ``_q_key``."""
-    voted = Scratch(docs.sparkSession, "quality").table(with_votes(with_counts(docs)), "votes")
+def _judged(docs: DataFrame, *kept: str) -> DataFrame:
+    """``row``, the counts, votes, score, base_failed and kept."""
+    voted = Scratch(docs.sparkSession, "quality").table(with_votes(with_counts(docs, *kept)), "votes")
     p = fit(voted)
     score = F.lit(None).cast("double")
     if p:
         lits = F.struct(F.lit(p["share"]).alias("share"), _doubles(p["good"]).alias("good"), _doubles(p["bad"]).alias("bad"))
         score = _posterior(F.col("votes"), lits)
-    return voted.select("_q_key", "doc_id", *COUNTS, _failed().alias("base_failed"), F.round(score, 6).alias("score"), "votes").withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= 0.5, F.lit(False)))
+    judged = voted.select("row", *COUNTS, _failed().alias("base_failed"), F.round(score, 6).alias("score"), "votes")
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= 0.5, F.lit(False)))
+
+
+def verdicts(docs: DataFrame) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, the counts, base_failed, kept, score, votes."""
+    return _judged(docs, "doc_id").select("row.doc_id", *COUNTS, "base_failed", "score", "votes", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that aren't kept."""
-    bad = verdicts(docs).where("not kept").select("_q_key").distinct()
-    return join_checked(docs.withColumn("_q_key", F.xxhash64("doc_id", "text")), bad, "_q_key", "left_anti").drop("_q_key")
+    return _judged(docs, "*").where("kept").select("row.*")

@@ -104,6 +104,32 @@ def test_keep_one_of_repeated_ids(spark):
     assert sorted((r[0], r[2]) for r in out.collect()) == [(1, "a"), (5, "empty"), (5, "g"), (5, "q")]
 
 
+def test_hot_groups_and_report(spark, monkeypatch):
+    """Groups in many parts, trees and blocks; the counts of the report."""
+    from docsieve.llm import common, components
+
+    monkeypatch.setattr(common, "PART", 5)
+    monkeypatch.setattr(J, "TREE", 7)
+    monkeypatch.setattr(J, "BLOCK", 900)
+    rng = random.Random(11)
+    start = [f"s{k}" for k in range(12)]
+    texts = family(rng, 50, 90, 7)
+    for _ in range(60):  # these share rare shingles but not more
+        texts.append(" ".join(start + [f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(30, 60))]))
+    chain = start + [f"c{k}" for k in range(100)]
+    for k in range(0, 40, 2):
+        chain[30 + k] = f"d{k}"
+        texts.append(" ".join(chain))
+    rows = list(enumerate(texts + texts[:9]))
+    assert run(spark, rows) == brute(rows)
+    report: dict = {}
+    found = J.joined(spark.createDataFrame(rows, "doc_id bigint, text string"), report)
+    assert found.count() == len(rows) and report["candidates"] >= report["bounded"] >= report["verified"] >= report["linked"] > 0, report
+    monkeypatch.setattr(components, "ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="rounds"):
+        run(spark, rows)
+
+
 def test_words_by_pieces(monkeypatch):
     import docsieve.llm.kernels as K
 
@@ -128,6 +154,18 @@ def test_tree_finds_all(seed):
     assert {(a, b) for a, b in want if 5 * size[a] >= 4 * size[b] and 5 * size[b] >= 4 * size[a]} <= got
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_tree_asked(seed):
+    rng = np.random.default_rng(seed)
+    points = rng.poisson(3, (300, 32)).astype(np.int64)
+    point = rng.poisson(3, 32).astype(np.int64)
+    points[100:140] = point + (rng.random((40, 32)) < 0.15)
+    got = set(J.CountTree(points, np.arange(300)).near(point).tolist())
+    size, m = points.sum(1), point.sum()
+    within = (5 * size >= 4 * m) & (5 * m >= 4 * size) & (np.minimum(points, point).sum(1) >= J.need(size, m))
+    assert got == set(np.flatnonzero(within).tolist()) and len(got) >= 40
+
+
 @pytest.mark.parametrize("bits", [J.BITS, 1])
 def test_bit_sets(monkeypatch, bits):
     monkeypatch.setattr(J, "BITS", bits)

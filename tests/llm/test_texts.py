@@ -253,6 +253,25 @@ def test_language_in_pieces(monkeypatch):
 # lines
 
 
+@pytest.mark.parametrize("size", [2, 5, 8, 20, 50, 200])
+def test_lines_by_ratio(spark, size):
+    """On sites of any size the ratio decides, from three pages on."""
+    hits = [1, 2, 3, 5, 6, 21]
+    rows = [(k, "s", "\n".join([f"own {k}", *(f"on {n}" for n in hits if k < n)])) for k in range(size)]
+    gone = {int(x.split()[1]) for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id bigint, source string, text string")).collect() for x in set(r["row"]["text"].split("\n")) - set(r["text"].split("\n"))}
+    assert gone == {n for n in hits if min(n, size) >= 3 and min(n, size) > 0.1 * size}
+
+
+def test_lines_of_large_sites(spark, monkeypatch):
+    from docsieve.llm import common
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    want = line_dedup.report(docs).collect()
+    monkeypatch.setattr(line_dedup, "BYTES", 0)
+    monkeypatch.setattr(common, "PART", 3)
+    same([tuple(r) for r in line_dedup.report(docs).collect()], [tuple(r) for r in want])
+
+
 def test_lines(spark, docs):
     import oracle
 
@@ -274,6 +293,24 @@ def edits(item, text):
     return min(now)
 
 
+def every_place(item, text, most):
+    """By a full table of (edits, -start): ends within the budget, then those apart from each other."""
+    now = [(0, -j) for j in range(len(text) + 1)]
+    for k, a in enumerate(item):
+        before, now = now, [(k + 1, 0)]
+        for j, c in enumerate(text):
+            up, left, across = before[j + 1], now[j], before[j]
+            now.append(min((across[0] + (a != c), across[1]), (up[0] + 1, up[1]), (left[0] + 1, left[1])))
+    return decontam.apart({j: v for j, v in enumerate(now) if v[0] <= most})
+
+
+def test_true_start():
+    index = decontam.Index([(1, "the quick brown fox jumps over the lazy dog again")])
+    for part in ("the quick brn fox jumps over the lazy dog again", "the quick brown foxxx jumps over the lazy dog again"):
+        text = f"a b {part} and so on, {part}"
+        assert [text[a:b] for _, a, b, _ in index.occurrences(text)] == [part, part]
+
+
 def test_decontamination():
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdeilnorst") for _ in range(rng.randrange(2, 9)))
@@ -286,12 +323,16 @@ def test_decontamination():
             p = rng.randrange(len(x))
             x[p : p + 1] = rng.choice([[], ["z"], [x[p], "q"]])
         host = [word() for _ in range(40)]
-        text = decontam.normal(" ".join(host[:20]) + " " + "".join(x) + " " + " ".join(host[20:]))
-        got = {i: e for i, _, _, e in index.occurrences(text)}
+        again = rng.choice(["", item, item[3:] + " " + item, "".join(x)])
+        text = decontam.normal(" ".join(host[:20]) + " " + "".join(x) + " " + " ".join(host[20:]) + " " + again)
+        got = {}
+        for i, a, b, e in index.occurrences(text):
+            got.setdefault(i, []).append((a, b, e))
         for j, (i, t) in enumerate(items[:-1]):
             true = edits(decontam.normal(t), text)
             assert (i in got) == (true <= index.edits[j]), (i, true, index.edits[j])
-            assert i not in got or got[i] == true
+            assert i not in got or min(e for _, _, e in got[i]) == true
+            assert got.get(i, []) == sorted(every_place(decontam.normal(t), text, int(index.edits[j]))), (t, text)
     assert index.occurrences("some tiny thing")[0][0] == 99
 
 
@@ -302,4 +343,5 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
     assert {r["doc_id"] for r in one if r["contaminated"]} >= exact
     monkeypatch.setattr(decontam, "BLOCK", 3000)
     many = decontam.report(docs, bench).collect()
-    same([(r[0], r[1], r[2], r[3]) for r in many], [(r[0], r[1], r[2], r[3]) for r in one])
+    same([tuple(r) for r in many], [tuple(r) for r in one])
+    same([tuple(r) for r in decontam.clean(docs, bench).collect()], [tuple(r) for r in docs.collect() if r["doc_id"] not in {x["doc_id"] for x in one if x["contaminated"]}])
