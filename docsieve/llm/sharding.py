@@ -3,10 +3,14 @@
 A store is a folder of immutable shards (one Parquet file each) and numbered manifests.
 ``append`` writes an arrival as shards of bounded size; ``compact`` merges runs of at least
 ``fan`` shards of one size tier into files of about ``target`` bytes, tier by
-tier, until no run is left; each step commits a new manifest by renaming a
-complete file to a name that must not exist yet, so that a reader sees the old
-version or the new one and of two writers one fails and can try again. Files
-that no manifest from ``keep`` versions back names are removed by ``vacuum``.
+tier, until no run is left; each step commits a new manifest: a complete file gets a name
+that must not exist yet, by an operation that the file system does at once (``_place``), so that a
+reader sees the old version or the new one and of two writers one fails. ``append`` then commits again
+on top of the other's version, and so does ``compact`` if the shards that it merged are still there.
+
+A writer first leaves an intent, then writes its shards in a folder of the same name, commits,
+and takes the intent away. ``vacuum`` removes files that no manifest from ``keep`` versions back
+names, but not those in a folder with an intent younger than ``LEASE``, so writers that run meanwhile lose nothing.
 
 Merging needs no shuffle: a group of shards, which by its choice is at most one
 and a half times the target, is one task that reads its files and writes one. The driver holds file
@@ -14,16 +18,21 @@ names and sizes only. A task made again writes the same shard; Spark's committer
 keeps one of its attempts.
 
 Arrivals may be empty (a shard without rows), have null or repeated rows and
-any columns; rows are kept as they are. A schema that differs from the store's is
+any columns; rows are kept as they are. A store without a version has no rows and no
+columns but _shard. A schema that differs from the store's is
 refused. Columns named _shard, _group or _tier are the store's own and refused as well.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import time
 import uuid
+from urllib.parse import unquote, urlsplit
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +41,12 @@ from .common import delete, file_system
 TARGET, FAN, SMALL = 64 << 20, 4, 8 << 20
 #: Groups merged by one job.
 WAVE = 64
+#: Seconds after which a writer that hasn't committed counts as dead.
+LEASE = 24 * 3600.0
+#: Commits that a writer tries before it gives up to others.
+TRIES = 50
+#: Fixed names of stores in which renaming copies, but a file can be created on condition that it doesn't exist.
+CONDITIONAL = ("s3a", "s3", "gs")
 
 
 class Conflict(RuntimeError):
@@ -96,51 +111,97 @@ class Store:
         return Manifest(**json.loads("\n".join(r["value"] for r in self.spark.read.text(name, wholetext=True).collect())))
 
     def commit(self, after: Manifest) -> None:
-        """Writes the manifest under a name of its own, then renames it; fails if that version exists."""
+        """Writes the manifest under a name of its own, then gives it that of its version; fails if that exists."""
         fs, _ = file_system(self.spark, self.path)
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs.mkdirs(path(f"{self.path}/manifests"))
-        temp, final = path(f"{self.path}/manifests/_{uuid.uuid4().hex}"), path(f"{self.path}/manifests/{after.version:012d}.json")
-        out = fs.create(temp, False)
-        out.write(bytearray(after.text().encode()))
-        out.close()
-        if fs.exists(final) or not fs.rename(temp, final):
+        fs.mkdirs(self._path("manifests"))
+        temp, final = self._path(f"manifests/_{uuid.uuid4().hex}"), self._path(f"manifests/{after.version:012d}.json")
+        raw = bytearray(after.text().encode())
+        try:
+            self._place(fs, temp, final, raw)
+        finally:
             fs.delete(temp, False)
-            raise Conflict(f"version {after.version} exists")
 
-    def _written(self, df: DataFrame, rows: int = 0) -> list[dict]:
-        """Writes one file for each task with rows, or for each ``rows`` rows of it, in a folder that no manifest names yet."""
-        folder = f"{self.path}/shards/{uuid.uuid4().hex}"
-        df.write.option("maxRecordsPerFile", rows).parquet(folder)
-        return [{"name": n, "bytes": size} for n, size in self._list(folder) if n.endswith(".parquet")]
-
-    def _merged(self, union: DataFrame) -> list[dict]:
-        """Writes a union of single partitions, a file for each: Spark must not lay them into one."""
-        key, conf = "spark.sql.unionOutputPartitioning", self.spark.conf
-        before = conf.get(key, "true")
-        conf.set(key, "false")
+    def _place(self, fs, temp, final, raw: bytearray) -> None:
+        """All of ``final`` at once or, if it exists, nothing: a link on a local or mounted file system, a conditional
+        put in an object store, a rename that doesn't overwrite elsewhere (HDFS does it in one step)."""
+        scheme, taken = fs.getUri().getScheme(), f"{final} exists"
+        if scheme in CONDITIONAL:
+            try:
+                out = fs.createFile(final).must("fs.option.create.conditional.overwrite", True).build()
+                out.write(raw)
+                out.close()
+            except Py4JJavaError as e:
+                raise Conflict(taken) from e
+            return
+        out = fs.create(temp, False)
+        out.write(raw)
+        out.close()
+        if scheme == "file":
+            try:
+                os.link(*(unquote(urlsplit(p.toUri().toString()).path) for p in (temp, final)))
+            except FileExistsError as e:
+                raise Conflict(taken) from e
+            return
+        jvm = self.spark.sparkContext._jvm
+        none = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = none
         try:
-            return self._written(union)
-        finally:
-            conf.set(key, before)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(temp, final, options)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            raise Conflict(taken) from e
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _intend(self) -> str:
+        """A writer's name, under which its intent and its shards lie."""
+        writer = uuid.uuid4().hex
+        fs, _ = file_system(self.spark, self.path)
+        fs.create(self._path(f"intents/{writer}"), False).close()
+        return writer
+
+    def _done(self, writer: str) -> None:
+        delete(self.spark, f"{self.path}/intents/{writer}")
 
-    def _cut(self, shards: list[dict], most: int, schema: str) -> list[dict]:
+    def _written(self, df: DataFrame, writer: str, rows: int = 0) -> list[dict]:
+        """Writes one file for each task with rows, or for each ``rows`` rows of it, in a folder of the writer's."""
+        folder = f"{self.path}/shards/{writer}/{uuid.uuid4().hex}"
+        df.write.option("maxRecordsPerFile", rows).parquet(folder)
+        found = [(n, size) for n, size in self._list(folder) if n.endswith(".parquet")]
+        if not found:
+            return []
+        counts = self.spark.read.schema(df.schema).parquet(folder).groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()  # from the files' footers
+        n = {unquote(r["f"]).rpartition("/")[2]: r["n"] for r in counts}
+        return [{"name": name, "bytes": size, "rows": n.get(name.rpartition("/")[2], 0)} for name, size in found]
+
+    def _merged(self, groups: list[list[dict]], schema: str, writer: str) -> list[dict]:
+        """Writes a file for each group, as a union of single partitions. Spark must not lay them into one: that is
+        set in a session of its own, not in the caller's."""
+        own = self.spark.newSession()
+        own.conf.set("spark.sql.unionOutputPartitioning", "false")
+        merged = None
+        for g in groups:
+            one = self._read([s["name"] for s in g], schema, own).coalesce(1)
+            merged = one if merged is None else merged.union(one)
+        return self._written(merged, writer)
+
+    def _cut(self, shards: list[dict], most: int, schema: str, writer: str) -> list[dict]:
         """Shards over ``most`` bytes are written again with fewer rows to a file, until only single rows are over it."""
         done = [s for s in shards if s["bytes"] <= most]
         large = [s for s in shards if s["bytes"] > most]
         while large:
-            counts = self._read([s["name"] for s in large], schema).groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()
-            rows = {r["f"].rpartition("/")[2]: r["n"] for r in counts}
             by: dict[int, list[str]] = {}  # by rows to a file, as a power of two: dense and sparse shards apart
             for s in large:
-                n = rows.get(s["name"].rpartition("/")[2], 0)
-                if n < 2:
+                if s["rows"] < 2:
                     done.append(s)
                 else:
-                    by.setdefault(1 << max(1, n * most * 3 // 4 // s["bytes"]).bit_length() - 1, []).append(s["name"])
+                    by.setdefault(1 << max(1, s["rows"] * most * 3 // 4 // s["bytes"]).bit_length() - 1, []).append(s["name"])
             large = []
             for n, names in by.items():
-                new = self._written(self._read(names, schema), n)
+                new = self._written(self._read(names, schema), writer, n)
                 done += [s for s in new if s["bytes"] <= most]
                 large += [s for s in new if s["bytes"] > most]
                 for name in names:
@@ -152,50 +213,88 @@ class Store:
         bytes (the target, if not given) are cut into more."""
         if clash := {"_shard", "_group", "_tier"} & set(arrival.columns):
             raise ValueError(f"columns of the store: {sorted(clash)}")
-        now, schema = self.manifest(), arrival.schema.json()
+        schema = arrival.schema.json()
+        self._same(self.manifest(), schema)
+        writer = self._intend()
+        try:
+            new = self._cut(self._written(arrival, writer), most or self.target, schema, writer)
+            return self._committed(lambda now: (self._same(now, schema), Manifest(now.version + 1, schema, now.shards + new))[1])
+        finally:
+            self._done(writer)
+
+    def _same(self, now: Manifest, schema: str) -> None:
         if now.schema not in (None, schema):
             raise ValueError("the schema differs from the store's")
-        after = Manifest(now.version + 1, schema, now.shards + self._cut(self._written(arrival), most or self.target, schema))
-        self.commit(after)
-        return after
+
+    def _committed(self, after) -> Manifest:
+        """Commits what ``after`` makes of the newest version; again if another writer was first."""
+        for _ in range(TRIES):
+            made = after(self.manifest())
+            try:
+                self.commit(made)
+            except Conflict:
+                continue
+            return made
+        raise Conflict(f"others were first {TRIES} times")
 
     def compact(self) -> Manifest:
         """Merges until no run is left; a version for each round."""
         now = self.manifest()
         while groups := plan(now.shards, self.target, self.fan, self.small):
-            new: list[dict] = []
-            for k in range(0, len(groups), WAVE):
-                merged = None
-                for g in groups[k : k + WAVE]:
-                    one = self._read([s["name"] for s in g], now.schema).coalesce(1)
-                    merged = one if merged is None else merged.union(one)
-                new += self._merged(merged)
-            gone = {s["name"] for g in groups for s in g}
-            after = Manifest(now.version + 1, now.schema, [s for s in now.shards if s["name"] not in gone] + new)
-            self.commit(after)
-            now = after
+            writer = self._intend()
+            try:
+                new = [s for k in range(0, len(groups), WAVE) for s in self._merged(groups[k : k + WAVE], now.schema, writer)]
+                gone = {s["name"] for g in groups for s in g}
+
+                def after(last: Manifest, gone=gone, new=new) -> Manifest:
+                    if not gone <= {s["name"] for s in last.shards}:
+                        raise Conflict("another writer merged the same shards")
+                    return Manifest(last.version + 1, last.schema, [s for s in last.shards if s["name"] not in gone] + new)
+
+                now = self._committed(after)
+            finally:
+                self._done(writer)
         return now
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Removes shards that none of the last ``keep`` manifests names, and older manifests."""
+    def vacuum(self, keep: int = 1, lease: float = LEASE) -> int:
+        """Removes shards that none of the last ``keep`` manifests names, and older manifests.
+
+        Folders are listed before intents and these before manifests: a folder without an intent
+        was committed, or given up, before its manifest is looked for."""
+        writers = [n for n, _ in self._list(f"{self.path}/shards")]
+        intents = self._running(lease)
         known = self.versions()
         live = {s["name"] for v in known[-keep:] for s in self.manifest(v).shards}
         gone = 0
-        for folder, _ in self._list(f"{self.path}/shards"):
-            files = [n for n, _ in self._list(folder)]
-            dead = [n for n in files if n.endswith(".parquet") and n not in live]
-            for n in [folder] if len(dead) == sum(n.endswith(".parquet") for n in files) else dead:
+        for writer in writers:
+            if writer.rpartition("/")[2] in intents:
+                continue
+            files = [n for folder, _ in self._list(writer) for n, _ in self._list(folder) if n.endswith(".parquet")]
+            dead = [n for n in files if n not in live]
+            for n in [writer] if len(dead) == len(files) else dead:
                 delete(self.spark, n)
             gone += len(dead)
         for v in known[:-keep]:
             delete(self.spark, f"{self.path}/manifests/{v:012d}.json")
         return gone
 
-    def _read(self, names: list[str], schema: str) -> DataFrame:
+    def _running(self, lease: float) -> set[str]:
+        """Writers with an intent; older ones than the lease lose theirs."""
+        fs, p = file_system(self.spark, f"{self.path}/intents")
+        out = set()
+        for status in fs.listStatus(p) if fs.exists(p) else []:
+            if time.time() - status.getModificationTime() / 1000 < lease:
+                out.add(status.getPath().getName())
+            else:
+                fs.delete(status.getPath(), False)
+        return out
+
+    def _read(self, names: list[str], schema: str | None, spark: SparkSession | None = None) -> DataFrame:
         from pyspark.sql.types import StructType
 
-        kind = StructType.fromJson(json.loads(schema))
-        return self.spark.read.schema(kind).parquet(*names) if names else self.spark.createDataFrame([], kind)
+        spark = spark or self.spark
+        kind = StructType.fromJson(json.loads(schema)) if schema else StructType()
+        return spark.read.schema(kind).parquet(*names) if names else spark.createDataFrame([], kind)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with the name of their shard (_shard)."""
