@@ -8,9 +8,9 @@ temperature fitted on rows that training didn't see calibrates the score, and
 the same rows give the score under which a prediction is rejected
 (``accepted``).
 
-Training takes at most ``per_lang`` rows of each language, in the order of a hash
-of doc_id and text, so the driver holds a bounded sample; their texts are used
-whole. Prediction is one pass over all texts without a shuffle: embeddings times
+Training takes about ``per_lang`` rows of each language, in the order of a hash
+of doc_id and text, and of each the first ``TRAIN_CHARS`` characters, so the driver holds a sample
+that is bounded in rows and bytes. Prediction takes every text whole: it is one pass over all texts without a shuffle: embeddings times
 weights is a table of one number for each bucket and language, which is sent to
 the executors (buckets x languages x 4 bytes, whatever the corpus).
 
@@ -35,6 +35,7 @@ from .common import ready
 BUCKETS = 1 << 16
 DIM = 16
 PER_LANG = 400
+TRAIN_CHARS = 20_000
 #: Share of the calibration rows that are right but may be rejected.
 REJECTED = 0.01
 _CHUNK = 1 << 19
@@ -42,11 +43,22 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def as_bytes(lowered: str) -> np.ndarray:
+    """UTF-8 with runs of white space as one space."""
+    raw = np.frombuffer(lowered.encode("utf-8", "surrogatepass"), np.uint8)
+    white = _WHITE[raw]
+    x = np.where(white, np.uint8(0x20), raw)
+    white[1:] &= white[:-1].copy()
+    if len(x):
+        white[0] = False
+    return x[~white]
+
+
 def tokens(raw: np.ndarray, begin: int | None = None) -> np.ndarray:
     """Buckets of all subwords of bytes that are lower-cased already, or of those that begin in the first ``begin`` bytes."""
     if len(raw) < 2:
         return np.zeros(0, np.int64)
-    x = np.where(_WHITE[raw], np.uint8(0x20), raw).astype(np.uint32)
+    x = raw.astype(np.uint32)
     two = x[:-1] * np.uint32(0x9E3779B1) + x[1:] * np.uint32(0x85EBCA6B)
     out = [two[:begin]]
     h = two
@@ -69,7 +81,7 @@ class Model:
     least: float = 0.0  # scores below are rejected
 
     def logits(self, lowered: str) -> np.ndarray:
-        raw = np.frombuffer(lowered.encode("utf-8", "surrogatepass"), np.uint8)
+        raw = as_bytes(lowered)
         total, n = np.zeros(len(self.langs)), 0
         for a in range(0, max(1, len(raw)), _CHUNK):  # long texts in pieces; a piece reads 3 bytes on
             b = tokens(raw[a : a + _CHUNK + 3], _CHUNK)
@@ -98,7 +110,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 15, rate: float = 8.0, seed
     label = np.array([langs.index(lang) for _, lang in rows])
     bags = []
     for text, _ in rows:
-        b, n = np.unique(tokens(np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)), return_counts=True)
+        b, n = np.unique(tokens(as_bytes(text.lower())), return_counts=True)
         bags.append((b, (n / max(1, n.sum())).astype(np.float32)))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
@@ -141,7 +153,7 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str,
         return []
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_lang / n))))
     drawn = known.where(F.pmod(key, F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
-    rows = drawn.select("text", "lang", key.alias("k")).orderBy("k", "text").limit(int(1.5 * per_lang * len(counts))).collect()
+    rows = drawn.select(F.substring("text", 1, TRAIN_CHARS).alias("text"), "lang", key.alias("k")).orderBy("k", "text").limit(int(1.5 * per_lang * len(counts))).collect()
     return [(r["text"], r["lang"]) for r in rows]
 
 

@@ -7,7 +7,9 @@ pairs. Both are trained from labelled samples (``samples``; any table of
 ``token``, ``is_random`` will do), by counting pairs in Spark; what reaches the
 driver is a table of at most 67 x 67 numbers, which becomes a constant of the
 plan. A token is a span of kind ``random`` if its ratio reaches ``LEAST`` and it
-overlaps no base span.
+overlaps no base span. The given samples (``samples``) are digests, and identifiers of two kinds:
+names that Python's standard library defines (``library_names``, one in five is held out
+for tests), and words of four languages joined in the usual ways.
 
 Offsets are code points; nothing but expressions on the row itself is used, so
 there is no shuffle. A null or empty text has no spans. Rows are scanned one by
@@ -17,6 +19,8 @@ one, whatever their doc_id, and a text of any length is scanned whole.
 from __future__ import annotations
 
 import math
+import zlib
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,13 +49,35 @@ WORDS = (
 ).split()
 
 
-def samples(spark: SparkSession, size: int = 4000) -> DataFrame:
-    """Labelled tokens (token, is_random): ``size`` of each kind, the same each time.
+#: Modules of the standard library whose names are labelled identifiers.
+MODULES = "argparse ast asyncio base64 calendar collections concurrent.futures configparser csv ctypes datetime decimal difflib dis email.message functools hashlib html.parser http.client http.cookiejar http.server importlib.machinery inspect io ipaddress itertools json locale logging logging.handlers mailbox multiprocessing.managers os pathlib pickle platform queue random re sched select shutil signal smtplib socket socketserver sqlite3 ssl statistics string subprocess sysconfig tarfile tempfile textwrap threading timeit tokenize traceback types typing unittest unittest.mock urllib.parse urllib.request uuid warnings wave weakref xml.dom.minidom xml.sax.handler zipfile".split()
 
-    Random ones are digests in three alphabets; ordinary ones join two to four
-    words in the usual ways (snake, camel, kebab, path, none, constant)."""
+
+@cache
+def library_names(held_out: bool = False) -> tuple[str, ...]:
+    """Names of six or more characters in MODULES and their classes; those held out are every fifth by a checksum."""
+    import importlib
+
+    found = set()
+    for m in MODULES:
+        module = importlib.import_module(m)
+        found.update(dir(module))
+        for x in vars(module).values():
+            if isinstance(x, type):
+                found.update(dir(x))
+    names = (n for n in found if len(n) >= 6 and all(c in ALPHABET for c in n))
+    return tuple(sorted(n for n in names if (zlib.crc32(n.encode()) % 5 == 0) == held_out))
+
+
+def samples(spark: SparkSession, size: int = 4000, held_out: bool = False) -> DataFrame:
+    """Labelled tokens (token, is_random): ``size`` digests, ``size`` joined words and the library's names, the same
+    each time. Those held out have other digests, other joins and the other names.
+
+    Random ones are digests in three alphabets; joined words are two to four in the usual
+    ways (snake, camel, kebab, path, none, constant)."""
+    seed = "held" if held_out else "sample"
     ids = spark.range(size)
-    digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
+    digest = F.sha2(F.concat(F.lit(seed), F.col("id").cast("string")), 256)
     random = ids.select(
         F.when(F.col("id") % 4 == 0, F.substring(digest, 1, 40))
         .when(F.col("id") % 4 == 1, F.substring(F.base64(F.unhex(digest)), 1, 40))
@@ -63,7 +89,7 @@ def samples(spark: SparkSession, size: int = 4000) -> DataFrame:
     words = F.split(F.lit(" ".join(WORDS)), " ")
 
     def word(k: int) -> Column:
-        return F.get(words, F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(len(WORDS))).cast("int"))
+        return F.get(words, F.pmod(F.xxhash64(F.col("id"), F.lit(k + 4 * held_out)), F.lit(len(WORDS))).cast("int"))
 
     parts = F.slice(F.array(*map(word, range(4))), 1, (2 + F.col("id") % 3).cast("int"))
     joined = [
@@ -76,7 +102,8 @@ def samples(spark: SparkSession, size: int = 4000) -> DataFrame:
         F.concat(F.array_join(parts, "_"), F.lit("_"), (F.col("id") % 100).cast("string")),
     ]
     style = F.get(F.array(*joined), (F.col("id") % len(joined)).cast("int"))
-    return random.union(ids.select(style, F.lit(False)))
+    library = spark.range(1).select(F.explode(F.split(F.lit(" ".join(library_names(held_out))), " ")).alias("token"), F.lit(False))
+    return random.union(ids.select(style, F.lit(False))).union(library)
 
 
 def train(labelled: DataFrame) -> list[float]:
@@ -110,9 +137,13 @@ def _starts(pieces: str, matches: str) -> str:
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
-def _found(df: DataFrame, kind: str, rank: int, pattern: str) -> DataFrame:
-    """Adds ``_s_<kind>``: all matches (start, rank, end, kind) and, for judging them, their texts in ``_m_<kind>``."""
-    df = df.withColumn(f"_m_{kind}", F.regexp_extract_all("_s_text", F.lit(pattern), F.lit(0)))
+def _found(df: DataFrame, kind: str, rank: int, pattern: str, needed: tuple[str, ...]) -> DataFrame:
+    """Looks only in texts that hold one of the strings ``needed``, without which there is no match. Adds ``_s_<kind>``: all matches (start, rank, end, kind) and, for judging them, their texts in ``_m_<kind>``."""
+    found = F.regexp_extract_all("_s_text", F.lit(pattern), F.lit(0))
+    if needed:
+        holds = reduce(lambda a, b: a | b, (F.contains(F.col("_s_text"), F.lit(x)) for x in needed))
+        found = F.when(holds, found).otherwise(F.array().cast("array<string>"))
+    df = df.withColumn(f"_m_{kind}", found)
     df = df.withColumn(f"_p_{kind}", F.when(F.size(f"_m_{kind}") > 0, F.split("_s_text", pattern, -1)))
     df = df.withColumn(f"_a_{kind}", F.expr(f"if(size(_m_{kind}) > 0, {_starts(f'_p_{kind}', f'_m_{kind}')}, array())"))
     return df.withColumn(
@@ -136,8 +167,8 @@ def scan(docs: DataFrame, ratios: list[float] | None = None, least: float = LEAS
     ratios = ratios or train(samples(docs.sparkSession))
     n = len(ALPHABET)
     df = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_s_text"))
-    for rank, (kind, pattern) in enumerate([("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("random", TOKEN)]):
-        df = _found(df, kind, rank, pattern)
+    for rank, (kind, pattern, needed) in enumerate([("assign", ASSIGN, (":", "=")), ("access", ACCESS, ("AKIA",)), ("hex", HEX, ()), ("random", TOKEN, ())]):
+        df = _found(df, kind, rank, pattern, needed)
     df = df.drop("_s_text")
     df = _kept(df, "assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6)
     df = _kept(df, "access", lambda m: F.length(m) >= 20)

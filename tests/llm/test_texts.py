@@ -157,6 +157,35 @@ def test_secrets(spark, docs, texts):
     assert added[903] == "random:3:37" and "Python" not in got._jdf.queryExecution().toString()
 
 
+def test_markov_on_held_out_tokens(spark):
+    """Tokens that the models weren't trained on, each in a text of its own; the figures stand in the README."""
+    rows = [(k, r["token"], r["is_random"]) for k, r in enumerate(secrets.samples(spark, 3000, held_out=True).where("length(token) >= 20").collect())]
+    out = secrets.scan(spark.createDataFrame([(k, f"see {t} there") for k, t, _ in rows], "doc_id bigint, text string"))
+    added = {r["doc_id"] for r in out.where("n_random > 0").collect()}
+    base = {r["doc_id"] for r in out.where("n_hex + n_access + n_assign > 0").collect()}
+    rows = [r for r in rows if r[0] not in base]
+    hit = [k in added for k, _, random_ in rows if random_]
+    wrong = [k in added for k, _, random_ in rows if not random_]
+    library = [k in added for k, t, random_ in rows if t in secrets.library_names(True)]
+    print("recall", sum(hit) / len(hit), "of", len(hit), "precision", sum(hit) / (sum(hit) + sum(wrong)), "ordinary flagged", sum(wrong), "of", len(wrong), "library names", sum(library), "of", len(library))
+    assert len(hit) > 1500 and len(wrong) > 1500 and len(library) > 50
+    assert sum(hit) >= 0.95 * len(hit) and sum(hit) >= 0.98 * (sum(hit) + sum(wrong))
+
+
+def test_markov_ratio_by_hand(spark):
+    """Against counts and logarithms of each token by itself."""
+    import math
+
+    labelled = [(r["token"], r["is_random"]) for r in secrets.samples(spark, 60).limit(400).collect()]
+    ratios, n = secrets.train(spark.createDataFrame(labelled, "token string, is_random boolean")), len(secrets.ALPHABET)
+    for a, b in ("ab", "_n", "Z9", "er", "=="):
+        p = []
+        for kind in (True, False):
+            pairs = [x for t, r in labelled if r == kind for x in zip(t, t[1:], strict=False)]
+            p.append((sum(x == (a, b) for x in pairs) + 0.5) / (sum(x[0] == a and x[1] in secrets.ALPHABET for x in pairs) + 0.5 * n))
+        assert abs(ratios[secrets.ALPHABET.index(a) * n + secrets.ALPHABET.index(b)] - math.log(p[0] / p[1])) < 1e-9
+
+
 def test_markov_ratio(spark):
     ratios = secrets.train(secrets.samples(spark, 500))
     n = len(secrets.ALPHABET)
@@ -217,6 +246,50 @@ def test_pii_written_out():
         assert list(pii.proposed(t)) == want, t
 
 
+def test_pii_on_labelled_sentences(spark):
+    """Spans that no base pattern finds, on sentences that nothing was fitted to; the figures stand in the README."""
+    import samples
+
+    rows = samples.sentences(23, 1500)
+    out = pii.find(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id bigint, text string")).collect()
+    found, true = set(), {(k, *x) for k, (_, spans) in enumerate(rows) for x in spans}
+    for r in out:
+        base = {(kind, a, b) for kind, spans_ in zip(pii.KINDS, spans(rows[r["doc_id"]][0]), strict=True) for a, b in spans_}
+        true -= {(r["doc_id"], *x) for x in base}
+        for x in filter(None, r["spans"].split(",")):
+            kind, a, b = x.split(":")
+            if (kind, int(a), int(b)) not in base:
+                found.add((r["doc_id"], kind, int(a), int(b)))
+    for kind in pii.KINDS:
+        f, t = ({x for x in y if x[1] == kind} for y in (found, true))
+        print(kind, len(t), "precision", len(f & t) / max(1, len(f)), "recall", len(f & t) / max(1, len(t)))
+    assert len(true) > 1000 and len(found & true) >= 0.95 * len(found) and len(found & true) >= 0.9 * len(true)
+
+
+def test_reliabilities_by_hand():
+    """Against rounds of expectation and maximisation over single spans, not counts."""
+    rng = random.Random(4)
+    spans_ = [tuple(rng.choice((-1, 0, 1, 1)) for _ in range(4)) for _ in range(300)]
+    share, chance, posterior = pii.reliabilities(Counter(spans_), 5)
+    start = {0: (0.6, 0.3, 0.1), 1: (0.1, 0.3, 0.6)}
+    p, right = {c: [list(start[c]) for _ in range(4)] for c in (0, 1)}, 0.5
+    for _ in range(5):
+        q = []
+        for v in spans_:
+            a, b = 1 - right, right
+            for j, x in enumerate(v):
+                a, b = a * p[0][j][x + 1], b * p[1][j][x + 1]
+            q.append(b / (a + b))
+        right = (sum(q) + 465) / (len(q) + 930)
+        for j in range(4):
+            for c in (0, 1):
+                w = [x if c else 1 - x for x in q]
+                n = [sum(y for y, v in zip(w, spans_, strict=True) if v[j] == k - 1) + 930 * start[c][k] for k in range(3)]
+                p[c][j] = [x / sum(n) for x in n]
+    assert abs(share - right) < 1e-5 and all(abs(posterior[v] - x) < 1e-4 for v, x in zip(spans_, q, strict=True))
+    assert all(abs(chance[j, c, k] - p[c][j][k]) < 1e-4 for j in range(4) for c in (0, 1) for k in range(3))
+
+
 def test_reliabilities():
     rng = np.random.default_rng(0)
     patterns: Counter = Counter()
@@ -239,6 +312,26 @@ def test_language(spark):
     assert langid.train([]).predict("text") == ("und", 0.0, False) and langid.train([("abc", "x")]).predict("1 2 3")[0] == "und"
 
 
+def test_language_calibration(spark):
+    """The temperature is the best of those tried, and at most one in a hundred right predictions is rejected; noise mostly is."""
+    rows = [(r["text"], r["lang"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and text is not null").select("text", "lang").limit(500).collect()]
+    model = langid.train(rows, epochs=6)
+    order = np.random.default_rng(7).permutation(len(rows))[::5]
+    z, y = np.stack([model.logits(rows[i][0].lower()) for i in order]), np.array([model.langs.index(rows[i][1]) for i in order])
+
+    def loss(t):
+        return -np.log(langid.softmax(z / t)[np.arange(len(y)), y]).mean()
+
+    assert all(loss(model.temperature) <= loss(t) + 1e-9 for t in (0.05, 0.2, 0.5, 1.0, 2.0, 5.0))
+    p = langid.softmax(z / model.temperature)
+    right = p.argmax(1) == y
+    assert ((p.max(1) < model.least) & right).sum() <= max(1, 0.01 * right.sum())
+    rng = random.Random(8)
+    noise = ["".join(rng.choice("qxzjkvw ") for _ in range(300)) for _ in range(50)]
+    assert sum(not model.predict(t)[2] for t in noise) >= 25
+    assert (langid.as_bytes("a \t\n b  ") == np.frombuffer(b"a b ", np.uint8)).all() and not len(langid.as_bytes(""))
+
+
 def test_language_in_pieces(monkeypatch):
     rng = np.random.default_rng(2)
     model = langid.Model(["a", "b"], rng.normal(size=(langid.BUCKETS, 2)).astype(np.float32), np.zeros(2))
