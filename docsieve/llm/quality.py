@@ -54,8 +54,10 @@ def with_counts(docs: DataFrame, *kept: str) -> DataFrame:
         _chars(F.col("_q_t"), ".!?").alias("_q_stop"),
         F.size("_q_l").cast("long").alias("_q_lines"),
         (F.size("_q_l") - F.size(F.array_distinct("_q_l"))).cast("long").alias("n_dup_lines"),
-        F.when(n >= 8, F.expr("transform(sequence(1, size(_q_w) - 7), i -> xxhash64(slice(_q_w, i, 8)))")).alias("_q_h"),
+        F.when(n >= 8, F.transform("_q_w", lambda x: F.xxhash64(x))).alias("_q_h"),
     )
+    for step in (1, 2, 4):  # hashes of 1, 2, 4 and then 8 words from each word on
+        df = df.withColumn("_q_h", F.expr(f"zip_with(slice(_q_h, 1, size(_q_h) - {step}), slice(_q_h, {step} + 1, size(_q_h) - {step}), (x, y) -> xxhash64(x, y))"))
     # only where a window repeats: windows by hash, then the places of those that have an equal neighbour
     df = df.withColumn("_q_s", F.expr("if(size(array_distinct(_q_h)) < size(_q_h), sort_array(transform(_q_h, (h, p) -> struct(h, p))), null)"))
     df = df.withColumn(
