@@ -55,6 +55,8 @@ GROUPS = 128
 SLOTS = 1 << 16
 #: Shingles in a block of a group, on average: bounds a task's memory, whether sets are many or large.
 BLOCK = 400_000
+#: Members of a group beyond which it is dealt over up to MOST blocks, however small its sets are, so that no task has it all.
+MEMBERS, MOST = 500, 8
 #: Members in one tree that a leader asks.
 TREE = 4096
 #: Bytes of bits; beyond it, sets are intersected one pair at a time.
@@ -439,12 +441,12 @@ def joined(docs: DataFrame, report: dict[str, int] | None = None) -> DataFrame:
     labelled = split_join(labelled, leading, ["leader"], hot, "cid").select("leader", "cid", "n", "comp", (F.col("comp") == F.col("leader_comp")).alias("inside"), F.explode(F.array(band, band + 1)).alias("band"))
     labelled = out.table(labelled, "labelled")
     mixed = labelled.groupBy("leader", "band").agg(
-        F.count("*").alias("size"), F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("n_in"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("n_out"),
+        F.count("*").alias("size"), F.count(F.when(F.col("inside"), 1)).alias("m_in"), F.count(F.when(~F.col("inside"), 1)).alias("m_out"), F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("n_in"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("n_out"),
         F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(F.col("cid") == F.col("leader")).alias("led"),
     )
     mixed = mixed.where("c0 != c1 and (size > 2 or not led)")
-    mixed = mixed.select("leader", "band", *((F.col(n) / BLOCK).cast("int").alias(f"b_{n[2:]}") + (F.col(n) > 0).cast("int") for n in ("n_in", "n_out")))
-    mixed = mixed.toDF("leader", "band", "b_in", "b_out")
+    blocks = {k: F.when(F.col(f"m_{k}") > 0, F.greatest((F.col(f"n_{k}") / BLOCK).cast("int"), F.least((F.col(f"m_{k}") / MEMBERS).cast("int"), F.lit(MOST - 1))) + 1).otherwise(0) for k in ("in", "out")}
+    mixed = mixed.select("leader", "band", *(b.alias(f"b_{k}") for k, b in blocks.items()))
     # blocks 0 to b_in - 1 are of members inside, the others of those outside; each block outside meets all
     spread = split_join(labelled, mixed, ["leader", "band"], hot, "cid").join(points, "cid")
     spread = spread.withColumn("block", F.when(F.col("inside"), F.pmod(F.xxhash64("cid"), F.greatest("b_in", F.lit(1)))).otherwise(F.col("b_in") + F.pmod(F.xxhash64("cid"), F.greatest("b_out", F.lit(1)))).cast("int"))
