@@ -399,7 +399,7 @@ def joined(docs: DataFrame, report: dict[str, int] | None = None) -> DataFrame:
     rank = np.zeros(SLOTS, np.int64)  # SLOTS numbers, however large the corpus is
     for slot, n in slots:
         rank[slot] = n
-    classes = out.table(rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("counts").alias("counts")), "classes")
+    classes = out.table(rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("counts").alias("counts"), F.min("row_key").alias("row_key")), "classes")
     sizes, points = classes.select("cid", "n"), classes.select("cid", "counts")
 
     prefixes = out.table(texts.select("text").mapInArrow(_prefixes(rank), "sig long, cid long"), "prefixes")
@@ -421,12 +421,12 @@ def joined(docs: DataFrame, report: dict[str, int] | None = None) -> DataFrame:
     bounded = out.table(asked.mapInArrow(_leaders_near, "a long, b long"), "bounded")
     # one leader each first: mostly that joins what the others would join, and no set is sent in vain
     first = bounded.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    near = _verified(out, texts, rows, out.table(first, "one"), "near-one")
+    near = _verified(out, texts, classes, out.table(first, "one"), "near-one")
     comp = connected(out, near, "first")
     apart = _apart(bounded.join(first, ["a", "b"], "left_anti"), comp)
     apart = out.table(apart, "others")
     if apart.take(1):
-        others = _verified(out, texts, rows, apart, "near-others")
+        others = _verified(out, texts, classes, apart, "near-others")
         comp = connected(out, _known(comp).unionByName(others), "second")
         near = near.unionByName(others)
     if report is not None:
@@ -458,7 +458,7 @@ def joined(docs: DataFrame, report: dict[str, int] | None = None) -> DataFrame:
     cells = out.table(cells, "cells")
     out.free()
     if cells.take(1):
-        full = cells.join(_sets(out, texts, rows, cells.select("cid").distinct(), "cells"), "cid").select(*kept, "shingles")
+        full = cells.join(_sets(out, texts, classes, cells.select("cid").distinct(), "cells"), "cid").select(*kept, "shingles")
         more = out.table(_cells(full).mapInArrow(_by_cell(_cell_links, "shingles", ["a", "b", "verified"], [pa.int64()] * 3), "a long, b long, verified long"), "more")
         out.drop("cells-sets")
         out.free()
@@ -493,16 +493,16 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return pairs.where("comp_a != comp_b").select("a", "b")
 
 
-def _sets(out: Scratch, texts: DataFrame, rows: DataFrame, used: DataFrame, name: str) -> DataFrame:
+def _sets(out: Scratch, texts: DataFrame, classes: DataFrame, used: DataFrame, name: str) -> DataFrame:
     """cid, shingles of the classes ``used``, made again from the rows of one key of each."""
-    ids = out.table(rows.join(used, "cid").groupBy("cid").agg(F.min("row_key").alias("row_key")), f"{name}-ids")
+    ids = out.table(classes.select("cid", "row_key").join(used, "cid"), f"{name}-ids")
     sets = join_checked(texts.select("row_key", "text"), ids, "row_key", "inner").mapInArrow(_sets_checked, "cid long, shingles binary").groupBy("cid").agg(F.min("shingles").alias("shingles"))
     return out.table(sets, f"{name}-sets")
 
 
-def _verified(out: Scratch, texts: DataFrame, rows: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+def _verified(out: Scratch, texts: DataFrame, classes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """Of pairs of classes, those whose sets are similar."""
-    sets = _sets(out, texts, rows, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), name)
+    sets = _sets(out, texts, classes, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), name)
     joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     found = out.table(joined.where(similar("x", "y")).select("a", "b"), name)
     out.drop(f"{name}-sets", f"{name}-ids")
