@@ -92,6 +92,14 @@ def test_units_are_the_tokenizers(texts):
         assert np.frombuffer(e(t), "<u4").tolist() == e.whole.encode(t, add_special_tokens=False).ids
 
 
+def test_any_mix_is_the_tokenizers():
+    e, rng = packing.encoder(*FILES), random.Random(3)
+    parts = [*"aB7.é漢 \n\t\x0b\x1c\x1f\x85\xa0\u2003\u2028\u200b\u0663\u00bd\U0001f600\x00", "the", "  ", "\r\n", "'s", "'S", "###", " " * 63, "\n" * 64, "<|endoftext|>"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(3000)]
+    for t in [*texts, "\n" * 1_000_000, "a" * 50_000]:
+        assert np.frombuffer(e(t), "<u4").tolist() == e.whole.encode(t, add_special_tokens=False).ids
+
+
 def test_fill_is_closest():
     rng = random.Random(2)
     for _ in range(200):
