@@ -45,9 +45,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-from .common import Scratch, hot_keys, join_checked, ready, split_join, text_buffer, with_parts
+from .common import BROADCAST_ROWS, Scratch, hot_keys, join_checked, ready, split_join, text_buffer, with_parts
 from .components import connected
 from .kernels import shingle_sets
 
@@ -154,14 +153,6 @@ def is_similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= 80 * (len(x) + len(y) - both)
 
 
-@F.pandas_udf(BooleanType())
-def similar(a, b):
-    """Whether two sets are similar: exact, by their intersection."""
-    import pandas as pd
-
-    return pd.Series([is_similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(a, b, strict=True)], dtype=bool)
-
-
 class CountTree:
     """R-tree, bulk-loaded: leaves of 16 points, nodes of 16 children.
 
@@ -312,6 +303,23 @@ def _leaders_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield out()
 
 
+def _led_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by part of a group, its leader's set first: the leader with each member whose set is similar."""
+    part, own, last = None, np.zeros(0, np.uint64), None
+    for batch in batches:
+        a, b = [], []
+        for leader, block, cid, shingles in zip(*(batch.column(k).to_pylist() for k in ("leader", "block", "cid", "shingles")), strict=True):
+            if cid == leader:
+                part, own, last = (leader, block), np.frombuffer(shingles, np.uint64), cid
+            elif cid != last:  # a class whose row comes more than once may be sent by several tasks
+                assert part == (leader, block)
+                last = cid
+                if is_similar(own, np.frombuffer(shingles, np.uint64)):
+                    a.append(leader)
+                    b.append(cid)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _cell_links(rows: list[tuple]) -> Iterator[tuple[int | None, int | None, int]]:
     """Of one block pair of one group: links enough to join what its links join, and last how many pairs were verified."""
     cid, block = [r[4] for r in rows], np.array([r[7] for r in rows], np.int64)
@@ -363,7 +371,8 @@ def _by_cell(work, data: str, names: list[str], types: list[pa.DataType]):
                 if rows and rows[0][:4] != r[:4]:
                     yield from emit(rows)
                     rows = []
-                rows.append(r)
+                if not rows or rows[-1][4] != r[4]:  # a class whose row comes more than once may be sent by several tasks
+                    rows.append(r)
         if rows:
             yield from emit(rows)
 
@@ -371,7 +380,7 @@ def _by_cell(work, data: str, names: list[str], types: list[pa.DataType]):
 
 
 def _cells(df: DataFrame) -> DataFrame:
-    return df.repartition(*_CELL).sortWithinPartitions(*_CELL)
+    return df.repartition(*_CELL).sortWithinPartitions(*_CELL, "cid")
 
 
 def row_key():
@@ -414,19 +423,16 @@ def joined(docs: DataFrame, report: dict[str, int] | None = None) -> DataFrame:
     out.free()
 
     near_size = star.where("5 * n >= 4 * leader_n and 5 * leader_n >= 4 * n").select("leader", "cid")  # before the points are sent
-    members = with_parts(near_size, "leader", hot).select("leader", F.pmod(F.xxhash64("cid"), F.col("_parts")).cast("int").alias("block"), F.lit(True).alias("member"), "cid")
-    asking = with_parts(near_size.select("leader").distinct(), "leader", hot)
-    asking = asking.select("leader", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("block"), F.lit(False).alias("member"), F.col("leader").alias("cid"))
-    asked = members.unionByName(asking).join(points, "cid").repartition("leader", "block").sortWithinPartitions("leader", "block", "member")
+    asked = _by_leader(_led(near_size).join(points, "cid"), hot)
     bounded = out.table(asked.mapInArrow(_leaders_near, "a long, b long"), "bounded")
     # one leader each first: mostly that joins what the others would join, and no set is sent in vain
     first = bounded.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    near = _verified(out, texts, classes, out.table(first, "one"), "near-one")
+    near = _verified(out, texts, classes, out.table(first, "one"), hot, "near-one")
     comp = connected(out, near, "first")
     apart = _apart(bounded.join(first, ["a", "b"], "left_anti"), comp)
     apart = out.table(apart, "others")
     if apart.take(1):
-        others = _verified(out, texts, classes, apart, "near-others")
+        others = _verified(out, texts, classes, apart, hot, "near-others")
         comp = connected(out, _known(comp).unionByName(others), "second")
         near = near.unionByName(others)
     if report is not None:
@@ -458,9 +464,9 @@ def joined(docs: DataFrame, report: dict[str, int] | None = None) -> DataFrame:
     cells = out.table(cells, "cells")
     out.free()
     if cells.take(1):
-        full = cells.join(_sets(out, texts, classes, cells.select("cid").distinct(), "cells"), "cid").select(*kept, "shingles")
+        full = _sent(out, texts, classes, cells, "cells")
         more = out.table(_cells(full).mapInArrow(_by_cell(_cell_links, "shingles", ["a", "b", "verified"], [pa.int64()] * 3), "a long, b long, verified long"), "more")
-        out.drop("cells-sets")
+        out.drop("cells-ids")
         out.free()
         links = more.where("a is not null").select("a", "b")
         if report is not None:
@@ -493,19 +499,36 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return pairs.where("comp_a != comp_b").select("a", "b")
 
 
-def _sets(out: Scratch, texts: DataFrame, classes: DataFrame, used: DataFrame, name: str) -> DataFrame:
-    """cid, shingles of the classes ``used``, made again from the rows of one key of each."""
-    ids = out.table(classes.select("cid", "row_key").join(used, "cid"), f"{name}-ids")
-    sets = join_checked(texts.select("row_key", "text"), ids, "row_key", "inner").mapInArrow(_sets_checked, "cid long, shingles binary").groupBy("cid").agg(F.min("shingles").alias("shingles"))
-    return out.table(sets, f"{name}-sets")
+def _led(members: DataFrame) -> DataFrame:
+    """Members of groups (leader, cid), and each leader as the one of its group whose cid is the leader."""
+    return members.select("leader", "cid").union(members.select("leader", F.col("leader").alias("cid")).distinct())
+
+
+def _by_leader(led: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Rows of ``_led`` by part (leader, block) of a group, the leader first: one part, or those of a hot leader, each with its row."""
+    own, part = F.col("cid") == F.col("leader"), F.pmod(F.xxhash64("cid"), F.col("_parts")).cast("int")
+    dealt = with_parts(led, "leader", hot).withColumn("block", F.explode(F.when(own, F.sequence(F.lit(0), F.col("_parts") - 1)).otherwise(F.array(part)))).drop("_parts")
+    return dealt.withColumn("member", ~own).repartition("leader", "block").sortWithinPartitions("leader", "block", "member", "cid")
+
+
+def _sent(out: Scratch, texts: DataFrame, classes: DataFrame, routes: DataFrame, name: str) -> DataFrame:
+    """``routes`` (cid and other columns) with the class's set, made again from the rows of one key of it.
+
+    What a class's set is for travels with its text, so a set is shuffled only to where it is compared."""
+    fields = [c for c in routes.columns if c != "cid"]
+    listed = routes.groupBy("cid").agg(F.collect_list(F.struct(*fields)).alias("routes"))
+    ids = out.table(classes.select("cid", "row_key").join(listed, "cid"), f"{name}-ids")
+    small = (ids.agg(F.sum(F.size("routes"))).first()[0] or 0) <= BROADCAST_ROWS // len(fields)
+    found = texts.select("row_key", "text").join(F.broadcast(ids) if small else ids.hint("merge"), "row_key").select("cid", "text", "routes")
+    sets = found.mapInArrow(_sets_checked, f"cid long, shingles binary, routes {dict(ids.dtypes)['routes']}")
+    return sets.select("cid", "shingles", F.explode("routes").alias("route")).select("cid", "shingles", "route.*")
 
 
-def _verified(out: Scratch, texts: DataFrame, classes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """Of pairs of classes, those whose sets are similar."""
-    sets = _sets(out, texts, classes, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), name)
-    joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    found = out.table(joined.where(similar("x", "y")).select("a", "b"), name)
-    out.drop(f"{name}-sets", f"{name}-ids")
+def _verified(out: Scratch, texts: DataFrame, classes: DataFrame, pairs: DataFrame, hot: DataFrame | None, name: str) -> DataFrame:
+    """Of pairs of classes (a, b), a a leader, those whose sets are similar."""
+    sets = _sent(out, texts, classes, _led(pairs.toDF("leader", "cid")), name)
+    found = out.table(_by_leader(sets, hot).mapInArrow(_led_links, "a long, b long"), name)
+    out.drop(f"{name}-ids")
     out.free()
     return found
 
@@ -513,14 +536,17 @@ def _verified(out: Scratch, texts: DataFrame, classes: DataFrame, pairs: DataFra
 def _sets_checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for b in batches:
-        b = b.filter(pa.array([not (c in seen or seen.add(c)) for c in b.column("cid").to_pylist()], pa.bool_()))  # a copied row once a task
+        b = b.filter(pa.array([c not in seen for c in b.column("cid").to_pylist()], pa.bool_()))  # a copied row once a task
         raw, at = text_buffer(b.column("text"))
-        cids, sets = [], []
-        for want, s in zip(b.column("cid").to_pylist(), shingle_sets(raw, at), strict=True):
-            if len(s) and class_id(s) == want:
+        cids, sets, kept = [], [], []
+        for k, (want, s) in enumerate(zip(b.column("cid").to_pylist(), shingle_sets(raw, at), strict=True)):
+            if len(s) and want not in seen and class_id(s) == want:
+                seen.add(want)
                 cids.append(want)
                 sets.append(s.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "shingles"])
+                kept.append(k)
+        routes = b.column("routes").take(pa.array(kept, pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary()), routes], names=["cid", "shingles", "routes"])
         if len(seen) > 200_000:
             seen.clear()
 
